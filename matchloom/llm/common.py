@@ -58,14 +58,14 @@ def put(uri: str, data: bytes) -> None:
     system, path = opened(uri)
     system.create_dir(os.path.dirname(path), recursive=True)
     part = f"{path}.{uuid.uuid4().hex[:8]}.tmp"
-    with system.open_output_stream(part) as out:
+    with system.open_output_stream(part, compression=None) as out:
         out.write(data)
     system.move(part, path)
 
 
 def get(uri: str) -> bytes:
     system, path = opened(uri)
-    with system.open_input_stream(path) as f:
+    with system.open_input_stream(path, compression=None) as f:
         return f.read()
 
 
@@ -74,7 +74,7 @@ def doc_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that none holds much over `most` bytes of the given text column."""
     for batch in batches:
         n = batch.num_rows

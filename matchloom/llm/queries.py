@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import packing, token_store
+from matchloom.llm import media_audio, packing, token_store, warc
 from matchloom.llm.common import table
 
 
@@ -14,9 +14,27 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_telephony_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_audio.media_digest(media_audio.store_media(spark, table(spark, sf_dir, "documents")))
+
+
+def op8_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_round_trip(spark, table(spark, sf_dir, "pages"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_digest(packing.pack_documents(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op1_token_store": op1_token_store, "op10_packing": op10_packing}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op1_token_store": op1_token_store, "op7_telephony_media": op7_telephony_media, "op8_warc_segments": op8_warc_segments, "op10_packing": op10_packing}
+ORACLE_SQL: dict[str, str] = {
+    "op8_warc_segments": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS payload_digest FROM p),
+        m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS newest FROM d),
+        r AS (SELECT *, CASE WHEN payload_bytes >= 1000 AND page_id < newest THEN newest END AS refers_to FROM m)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to
+        FROM r
+    """,
+}
