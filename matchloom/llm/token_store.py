@@ -43,10 +43,14 @@ class Table:
     def __init__(self, symbols: np.ndarray, freq: np.ndarray):
         self.symbols, self.freq = symbols, freq.astype(np.uint64)
         self.start = np.concatenate([[0], np.cumsum(freq)[:-1]]).astype(np.uint64)
+        self.places = np.zeros(int(symbols[-1]) + 1, np.int32)
+        self.places[symbols] = np.arange(len(symbols), dtype=np.int32)
 
     @classmethod
     def counted(cls, ids: np.ndarray) -> Table:
-        symbols, counts = np.unique(ids, return_counts=True)
+        counts = np.bincount(ids)
+        symbols = np.nonzero(counts)[0]
+        counts = counts[symbols]
         if len(symbols) > 1 << BITS:
             raise ValueError("more distinct ids in a segment than its table has slots")
         room = (1 << BITS) - len(symbols)
@@ -71,7 +75,7 @@ class Table:
 def encode_block(ids: np.ndarray, table: Table, lanes: int, checkpoint_steps: int) -> bytes:
     n = len(ids)
     steps = -(-n // lanes)
-    at = np.searchsorted(table.symbols, ids)
+    at = table.places[ids]
     freq, start = table.freq[at], table.start[at]
     x = np.full(lanes, LOW, np.uint64)
     words: list[np.ndarray] = []

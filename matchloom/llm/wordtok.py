@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import islice, repeat
 
 import numpy as np
 
@@ -25,14 +26,26 @@ def byte_letters() -> dict[int, str]:
 
 
 _LETTERS = byte_letters()
-#: A full stop or comma that ends a word after a character which is no plain letter or digit: then it isn't cut off.
-_RUN_OF_MARKS = re.compile(r"[^A-Za-z0-9\xc0-\xd6\xd8-\xf6\xf8-\xff ][.,](?: |$)")
+
+
+def _tables() -> tuple[bytes, bytes]:
+    """For Latin-1 bytes: lower case with line ends as spaces; and the kind: letter or digit a, space, [.,] as full stop,
+    anything else an exclamation mark."""
+    letters = [*range(0xC0, 0xD7), *range(0xD8, 0xDF)]
+    low = bytes(b + 32 if chr(b) in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" or b in letters else 32 if b == 10 else b for b in range(256))
+    own = {*b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", *letters, *range(0xDF, 0xF7), *range(0xF8, 0x100)}
+    kind = bytes(97 if b in own else 32 if b in (10, 32) else 46 if b in b".," else 33 for b in range(256))
+    return low, kind
+
+
+_LOW, _KIND = _tables()
 
 
 class WordEncoder:
-    """ids of many texts. most_words bounds the table; it is emptied when full."""
+    """ids of many texts. most_words bounds the table; when it is full, the half that was learned last goes, as the
+    words met first are the frequent ones."""
 
-    def __init__(self, path: str, most_words: int = 1_200_000):
+    def __init__(self, path: str, most_words: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -40,26 +53,29 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.most_words = most_words
-        self._empty()
-
-    def _empty(self) -> None:
         self.index: dict[str, int] = {"": 0}
         self.offset = np.zeros(1 << 16, np.int64)
         self.length = np.zeros(1 << 16, np.int64)
         self.flat = np.zeros(1 << 18, np.uint32)
         self.used = 0
 
+    def _forget(self) -> None:
+        keep = self.most_words // 2
+        self.index = dict(islice(self.index.items(), keep))
+        self.used = int(self.offset[keep])
+
     @staticmethod
     def pieces(text: str) -> list[str]:
-        text = text.replace("\n", " ")
         try:
-            text.encode("latin-1")
+            data = text.encode("latin-1")
         except UnicodeEncodeError:
-            return text.split(" ")
-        # lower() and the library agree on these characters; a mark after a letter is a token of its own
-        if not _RUN_OF_MARKS.search(text):
-            text = text.replace(", ", " , ").replace(". ", " . ")
-        return text.lower().split(" ")
+            return text.replace("\n", " ").split(" ")
+        kind = data.translate(_KIND)
+        data = data.translate(_LOW)  # the library lower-cases these characters alike
+        # a mark that ends a word is a token of its own, unless another mark stands before it
+        if not (b"!. " in kind or b".. " in kind or kind.endswith((b"!.", b".."))):
+            data = data.replace(b", ", b" , ").replace(b". ", b" . ")
+        return data.decode("latin-1").split(" ")
 
     def _learn(self, new: list[str]) -> None:
         model = self.tokenizer.model.tokenize
@@ -85,16 +101,18 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other (uint32), and the number of ids of each text."""
         if len(self.index) > self.most_words:
-            self._empty()
+            self._forget()
         words: list[str] = []
         counts = np.zeros(len(texts), np.int64)
         for k, text in enumerate(texts):
             got = self.pieces(text)
             counts[k] = len(got)
             words += got
-        if new := set(words).difference(self.index):
-            self._learn(sorted(new))
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        if len(new := np.nonzero(at < 0)[0]):
+            unknown = [words[k] for k in new.tolist()]
+            self._learn(list(dict.fromkeys(unknown)))
+            at[new] = np.fromiter(map(self.index.__getitem__, unknown), np.int64, len(new))
         lengths = self.length[at]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
