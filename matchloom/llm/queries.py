@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import media_audio, packing, token_store, warc
+from matchloom.llm import media_audio, packing, quality_rules, token_store, warc
 from matchloom.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_columns(table(spark, sf_dir, "documents"))
+
+
 def op7_telephony_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_audio.media_digest(media_audio.store_media(spark, table(spark, sf_dir, "documents")))
 
@@ -26,7 +30,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_digest(packing.pack_documents(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op1_token_store": op1_token_store, "op7_telephony_media": op7_telephony_media, "op8_warc_segments": op8_warc_segments, "op10_packing": op10_packing}
+QUERIES = {"op1_token_store": op1_token_store, "op5_quality_rules": op5_quality_rules, "op7_telephony_media": op7_telephony_media, "op8_warc_segments": op8_warc_segments, "op10_packing": op10_packing}
 ORACLE_SQL: dict[str, str] = {
     "op8_warc_segments": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
