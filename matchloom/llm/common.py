@@ -74,7 +74,7 @@ def doc_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that none holds much over `most` bytes of the given text column."""
     for batch in batches:
         n = batch.num_rows

@@ -122,7 +122,7 @@ def _packer(path: str, capacity: int, end_id: int, most_tokens: int):
     return pack
 
 
-def pack_documents(docs: DataFrame, *, tokenizer_path: str | None = None, capacity: int = 4096, end_id: int = 2, most_tokens: int = 16_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, *, tokenizer_path: str | None = None, capacity: int = 4096, end_id: int = 2, most_tokens: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
     The rows of a hash partition are sorted before they are packed, so that a task that runs again packs alike.
