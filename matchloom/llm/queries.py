@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import html_extract, media_audio, ngram_join, packing, quality_rules, substring_dedup, token_store, warc
+from matchloom.llm import html_extract, media_audio, ngram_join, packing, pii, quality_rules, substring_dedup, token_store, warc
 from matchloom.llm.common import table
 
 
@@ -39,11 +39,15 @@ def op8_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_round_trip(spark, table(spark, sf_dir, "pages"))
 
 
+def op9_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_digest(packing.pack_documents(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op1_token_store": op1_token_store, "op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op4_substring_dedup": op4_substring_dedup, "op5_quality_rules": op5_quality_rules, "op6_html_text": op6_html_text, "op7_telephony_media": op7_telephony_media, "op8_warc_segments": op8_warc_segments, "op10_packing": op10_packing}
+QUERIES = {"op1_token_store": op1_token_store, "op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op4_substring_dedup": op4_substring_dedup, "op5_quality_rules": op5_quality_rules, "op6_html_text": op6_html_text, "op7_telephony_media": op7_telephony_media, "op8_warc_segments": op8_warc_segments, "op9_skip_chain_pii": op9_skip_chain_pii, "op10_packing": op10_packing}
 ORACLE_SQL: dict[str, str] = {
     "op8_warc_segments": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
