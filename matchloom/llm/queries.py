@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import html_extract, media_audio, ngram_join, packing, pii, quality_rules, substring_dedup, token_store, warc
+from matchloom.llm import bpe_stream, html_extract, media_audio, ngram_join, packing, pii, quality_rules, substring_dedup, token_store, warc
 from matchloom.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op2_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_stream.round_trip_digest(table(spark, sf_dir, "documents"))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id")
@@ -47,7 +51,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_digest(packing.pack_documents(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op1_token_store": op1_token_store, "op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op4_substring_dedup": op4_substring_dedup, "op5_quality_rules": op5_quality_rules, "op6_html_text": op6_html_text, "op7_telephony_media": op7_telephony_media, "op8_warc_segments": op8_warc_segments, "op9_skip_chain_pii": op9_skip_chain_pii, "op10_packing": op10_packing}
+QUERIES = {"op1_token_store": op1_token_store, "op2_bpe_stream": op2_bpe_stream, "op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op4_substring_dedup": op4_substring_dedup, "op5_quality_rules": op5_quality_rules, "op6_html_text": op6_html_text, "op7_telephony_media": op7_telephony_media, "op8_warc_segments": op8_warc_segments, "op9_skip_chain_pii": op9_skip_chain_pii, "op10_packing": op10_packing}
 ORACLE_SQL: dict[str, str] = {
     "op8_warc_segments": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
