@@ -2,21 +2,24 @@
 
 Under any fixed order of all shingles, two sets whose Jaccard similarity is at least t share a shingle among the first
 n - ceil(t * n) + 1 of each. That holds for each order alone, so a pair must pass it under every one. The orders here put
-rare shingles first: the first key is a count from a sketch of fixed size (each order has its own row of counters), the
-second a hash of the order's own. An order only has to be the same for all documents, so neither the sketch's error nor
+rare shingles first: the first key is a count from a sketch of fixed size, the second a hash
+of the order's own; and one order counts exactly, among the documents that meet. An order only has to be the same for all documents, so neither the sketch's error nor
 its saturation can lose a pair; they cost candidates.
 
 1.  A scan gives each document's class (a 128-bit sum over its set; equal sets are one class, linked without comparing) and
-    the sketch, which is summed by range and has 2 x 2**22 one-byte counters however large the corpus.
+    the sketch, which is summed by range and has 2 x 2**23 one-byte counters however large the corpus.
 2.  A second scan deals the prefixes under the first order out by shingle. Tasks see which classes share one: lists.
-3.  The sets of all classes in a list are stored once.
-4.  Rounds: in each list that isn't one component yet, a few leaders are compared with all members of other components, by
-    the other orders' prefixes first, then by the whole sets. Verified links are joined into components; leaders leave
-    their lists, as all their pairs are done. The number of leaders grows from round to round until no list is left. A group
-    of thousands of near copies is one component after a round or two, and its pairs are never made.
-
-Nothing is capped: a pair is left out only if it fails a filter that no true pair fails, if it has been compared, or if its
-two documents are in one component already. Components are found by alternating stars; nothing is collected.
+3.  Lists that have a class in common form clusters, found by alternating stars. A cluster's texts meet in one task, or, if
+    they have more than ``block_tokens`` shingles, in one task for each block of it, together with a few hubs that all its
+    blocks hold. There the other orders' prefixes (one by the sketch's second row, one by the exact counts within the block)
+    leave the candidates, whose overlaps are counted from postings. A class that is linked to the block's main component is
+    skipped, as the classes outside are compared with it; so thousands of near copies cost a comparison each, and no pair is
+    ever made.
+4.  Of a cluster in several blocks, the classes that the hubs did not join to its main component are compared with every
+    block of it.
+
+Nothing is capped: a pair is left out only if it fails a filter that no true pair fails, or if its two documents are in one
+component already. Nothing that grows with the documents is collected.
 
 Cases: null or empty text and text without words: no shingles, a component of its own. Fewer than ``words`` words: the whole
 sequence is the one shingle. Null doc_id: joins like any other; it is never a component's id unless the component has no
@@ -28,17 +31,16 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import scratch, slices, stored
+from matchloom.llm.common import slices, stored
 from matchloom.llm.words import Words, mixed
 
-ROW_BITS, RANGES = 22, 64
+ROW_BITS, RANGES = 23, 64
 SEEDS = tuple(np.uint64(s) for s in (0x243F6A8885A308D3, 0x13198A2E03707344))  # one order each
 HEAD = np.dtype([("node", "<i8"), ("n", "<u4"), ("count", "<u4")])
 SUBS = 4
@@ -80,8 +82,9 @@ def needed(n: np.ndarray, percent: int) -> np.ndarray:
 
 def ranks(codes: np.ndarray, order: int, sketch: np.ndarray) -> np.ndarray:
     """Sort keys of shingles under an order: the sketch's count first, then the order's hash."""
-    mix = mixed(codes ^ SEEDS[order])
-    return (sketch[order][(mix & np.uint64((1 << ROW_BITS) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (mix >> np.uint64(8))
+    mask = np.uint64((1 << ROW_BITS) - 1)
+    level = np.minimum(*(sketch[k][(mixed(codes ^ seed) & mask).astype(np.int64)] for k, seed in enumerate(SEEDS)))
+    return (level.astype(np.uint64) << np.uint64(56)) | (mixed(codes ^ SEEDS[order]) >> np.uint64(8))
 
 
 def prefixes(sets: Sets, which: np.ndarray, order: int, sketch: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -192,8 +195,18 @@ def _sent(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["part", "sub", "heads", "tails"])
 
 
-def _lister(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lists of two or more classes that share a prefix shingle; equal lists of a task's piece once."""
+def _listed(names: np.ndarray | None, a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
+    null = pa.nulls(len(a), pa.int64())
+    return pa.RecordBatch.from_arrays([null if names is None else pa.array(names), pa.array(a), null if b is None else pa.array(b)], ["list", "a", "b"])
+
+
+def _lister(percent: int, short: int):
+    """Classes that share a prefix shingle: rows (list, a) of long lists, (a, b) of the pairs of short ones. Equal lists, and
+    equal pairs, of a task's piece come once."""
+    return lambda batches: _lists(batches, percent, short)
+
+
+def _lists(batches: Iterator[pa.RecordBatch], percent: int, short: int) -> Iterator[pa.RecordBatch]:
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     sub = -1
 
@@ -210,11 +223,21 @@ def _lister(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = mixed(sums[first + size] - sums[first] + size.astype(np.uint64))
         chosen = np.nonzero(size > 1)[0]
         chosen = chosen[np.unique(name[chosen], return_index=True)[1]]
+        # short lists as pairs, of which each has a bounded number
+        pairs = [np.empty((2, 0), np.int64)]
+        for k in np.unique(size[chosen][size[chosen] <= short]).tolist():
+            at = first[chosen[size[chosen] == k]]
+            x, y = (at[:, None] + i for i in np.triu_indices(k, 1))
+            fit = 100 * np.minimum(n[x], n[y]).astype(np.int64) >= percent * np.maximum(n[x], n[y]).astype(np.int64)
+            pairs.append(np.stack([node[x[fit]], node[y[fit]]]))
+        pairs = np.unique(np.concatenate(pairs, axis=1), axis=1)
+        for i in range(0, pairs.shape[1], 1 << 16):
+            yield _listed(None, pairs[0, i : i + (1 << 16)], pairs[1, i : i + (1 << 16)])
+        chosen = chosen[size[chosen] > short]
         at = np.repeat(first[chosen] - (np.cumsum(size[chosen]) - size[chosen]), size[chosen]) + np.arange(int(size[chosen].sum()))
-        names, sizes = np.repeat(name[chosen].view(np.int64), size[chosen]), np.repeat(size[chosen], size[chosen])
+        names = np.repeat(name[chosen].view(np.int64), size[chosen])
         for i in range(0, len(at), 1 << 16):
-            cut = slice(i, i + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(names[cut]), pa.array(node[at[cut]]), pa.array(n[at[cut]], pa.int64()), pa.array(sizes[cut], pa.int64())], ["list", "node", "n", "size"])
+            yield _listed(names[i : i + (1 << 16)], node[at[i : i + (1 << 16)]], None)
 
     for batch in batches:
         subs = batch.column(1).to_pylist()
@@ -232,45 +255,126 @@ def _lister(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from close()
 
 
-def _set_rows(words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            s = Sets(batch.column(1), words)
-            same = np.nonzero((s.c1 == batch.column(2).to_numpy()) & (s.c2 == batch.column(3).to_numpy()))[0]
-            data = [s.codes[s.first[k] : s.first[k + 1]].astype("<u8").tobytes() for k in same.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(s.c1[same]), pa.array(data, pa.binary())], ["node", "codes"])
+def _postings(token: np.ndarray, node: np.ndarray, n_tokens: int) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of each token one after the other, and where each token's begin."""
+    order = np.argsort(token, kind="stable")
+    return node[order], np.concatenate([[0], np.cumsum(np.bincount(token, minlength=n_tokens))])
 
-    return run
 
+def _hits(postings: tuple[np.ndarray, np.ndarray], tokens: np.ndarray, k: int) -> np.ndarray:
+    """How many of the tokens each of the k nodes has."""
+    nodes, begin = postings
+    size = begin[tokens + 1] - begin[tokens]
+    at = np.repeat(begin[tokens] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    return np.bincount(nodes[at], minlength=k)
 
-def _shares_prefix(a: np.ndarray, b: np.ndarray, order: int, sketch: np.ndarray, percent: int) -> bool:
-    def head(codes: np.ndarray) -> np.ndarray:
-        n = len(codes)
-        size = n - int(needed(np.int64(n), percent)) + 1
-        keys = ranks(codes, order, sketch)
-        return keys if size >= n else np.partition(keys, size - 1)[:size]
 
-    return len(np.intersect1d(head(a), head(b), assume_unique=True)) > 0
+def _heads(token: np.ndarray, node: np.ndarray, rank: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(token, node) of the nodes' prefixes under an order."""
+    order = np.lexsort((token, rank, node))
+    place = np.arange(len(order)) - (np.cumsum(n) - n)[node[order]]
+    keep = order[place < (n - needed(n, percent) + 1)[node[order]]]
+    return token[keep], node[keep]
 
 
-def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    if min(len(a), len(b)) * 100 < percent * max(len(a), len(b)):
-        return False
+def _similar(a: np.ndarray, b: np.ndarray, sketch: np.ndarray, percent: int) -> bool:
+    """The other orders' filter, then the whole sets."""
+    for hash_of in (lambda c: c, lambda c: mixed(c ^ SEEDS[1])):  # sets come in the first order; and one of its own
+        x, y = (h[: len(h) - int(needed(np.int64(len(h)), percent)) + 1] for h in (np.sort(hash_of(c)) for c in (a, b)))
+        if not np.isin(x, y, assume_unique=True).any():
+            return False
     common = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def _verifier(sketch, percent: int):
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2, 1 << 23):
-            keep = []
-            left, right = batch.column(2), batch.column(3)
-            for k in range(batch.num_rows):
-                a, b = np.frombuffer(left[k].as_buffer(), "<u8"), np.frombuffer(right[k].as_buffer(), "<u8")
-                keep.append(all(_shares_prefix(a, b, o, sketch.value, percent) for o in range(1, len(SEEDS))) and similar(a, b, percent))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+ASKED, THERE, MAIN = 1, 0, 2
+
+
+def linked(sets: list[np.ndarray], comp: np.ndarray, role: np.ndarray, sketch: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links that join each ASKED set with all sets of the block that it is similar to.
 
-    return verify
+    comp: a label for each set; equal labels are joined already. MAIN sets are those of their cluster's main component, in
+    which no two need comparing; where all sets are ASKED, the largest component found here takes that part.
+    """
+    must = role == ASKED
+    k = len(sets)
+    n = np.array([len(x) for x in sets], np.int64)
+    if k == 2 or must.sum() == 1:
+        x = int(np.argmax(must))
+        fit = (comp != comp[x]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x]))
+        return [(x, y) for y in np.nonzero(fit)[0].tolist() if _similar(sets[x], sets[y], sketch, percent)]
+    names, token = np.unique(np.concatenate(sets), return_inverse=True)
+    node = np.repeat(np.arange(k), n)
+    begin = np.concatenate([[0], np.cumsum(n)])
+    counts = np.bincount(token)
+    by_sketch = ranks(names, 1, sketch)
+    heads, shown = [], []
+    for rank in (counts[token], by_sketch[token]):
+        t, owner = _heads(token, node, rank, n, percent)
+        heads.append(_postings(t, owner, len(names)))
+        order = np.argsort(owner, kind="stable")
+        shown.append((t[order], np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=k))])))
+    whole = _postings(token, node, len(names))
+    comp = np.unique(comp, return_inverse=True)[1].copy()
+    out: list[tuple[int, int]] = []
+
+    def compared(x: int) -> None:
+        other = (comp != comp[x]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x]))
+        for postings, (tokens, at) in zip(heads, shown, strict=True):
+            if not other.any():
+                return
+            other &= _hits(postings, tokens[at[x] : at[x + 1]], k) > 0
+        if not other.any():
+            return
+        common = _hits(whole, token[begin[x] : begin[x + 1]], k)
+        for y in np.nonzero(other & (100 * common >= percent * (n + n[x] - common)))[0].tolist():
+            if comp[y] != comp[x]:
+                comp[comp == comp[y]] = comp[x]
+                out.append((x, y))
+
+    todo = np.nonzero(must)[0]
+    for x in todo[:: max(1, len(todo) // 4)].tolist():  # a few first, to see the main component
+        compared(x)
+    known = np.nonzero(role == MAIN)[0]
+    main = int(known[0]) if len(known) else int(np.argmax(np.bincount(comp)[comp])) if must.all() else -1
+    for x in todo.tolist():
+        if main < 0 or comp[x] != comp[main]:
+            compared(x)
+    return out
+
+
+def _resolver(words: int, sketch, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, nodes, comps, roles, sets = None, {}, [], [], []
+
+        def close() -> pa.RecordBatch:
+            names = list(nodes)
+            found = linked(sets, np.array(comps, np.int64), np.array(roles, np.int64), sketch.value, percent) if len(sets) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([names[a] for a, _ in found], pa.int64()), pa.array([names[b] for _, b in found], pa.int64())], ["a", "b"])
+
+        for batch in slices(batches):  # key, text, c1, c2, comp, role; the rows come sorted by key
+            s = Sets(batch.column(1), words)
+            same = (s.c1 == batch.column(2).to_numpy()) & (s.c2 == batch.column(3).to_numpy())
+            rows = zip(batch.column(0).to_pylist(), s.c1.tolist(), batch.column(4).to_pylist(), batch.column(5).to_pylist(), same.tolist(), strict=True)
+            for i, (this, node, comp, role, fits) in enumerate(rows):
+                if this != key:
+                    if len(sets) > 1:
+                        yield close()
+                    key, nodes, comps, roles, sets = this, {}, [], [], []
+                if not fits:
+                    continue
+                if node in nodes:
+                    if role == ASKED:
+                        roles[nodes[node]] = ASKED
+                    continue
+                nodes[node] = len(sets)
+                comps.append(comp)
+                roles.append(role)
+                sets.append(s.codes[s.first[i] : s.first[i + 1]])
+        if len(sets) > 1:
+            yield close()
+
+    return run
 
 
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
@@ -290,26 +394,58 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
         if state == last:
             break
         last = state
-    return edges.groupBy("a").agg(F.min("b").alias("comp")).withColumnRenamed("a", "node")
-
-
-def _pairs(lists: DataFrame, comps: DataFrame | None, leaders: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs of a leader and a member of another component, the lists that are left)."""
-    if comps is not None:
-        lists = lists.drop("comp").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        torn = lists.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("list")
-        lists = lists.join(torn, "list", "left_semi")
-    lists = stored(lists.sparkSession, lists, "lists")
-    first = lists.withColumn("rank", F.row_number().over(Window.partitionBy("list").orderBy("node"))).where(F.col("rank") <= leaders)
-    first = first.select("list", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    pairs = lists.join(first, "list").where((F.col("node") > F.col("a")) & (F.col("comp") != F.col("ca")) & (100 * F.least("n", "na") >= percent * F.greatest("n", "na")))
-    pairs = pairs.select("a", F.col("node").alias("b")).distinct()
-    rest = lists.join(first.select("list", F.col("a").alias("node")), ["list", "node"], "left_anti")
-    return pairs, rest
-
-
-def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", most_postings: int = 1 << 21) -> DataFrame:
-    """row, doc_id, n_shingles, component_id (least doc_id reachable by links of at least `percent`) of every row of docs."""
+    found = edges.groupBy("a").agg(F.min("b").alias("comp")).withColumnRenamed("a", "node")
+    return found.unionByName(found.select(F.col("comp").alias("node"), "comp").distinct())
+
+
+def _met(rows: DataFrame, placed: DataFrame, words: int, sketch, percent: int) -> DataFrame:
+    """Links found where the texts of placed (row, c1, c2, comp, role, key) meet by key."""
+    texts = rows.select("row", "text").join(placed, "row").select("key", "text", "c1", "c2", "comp", "role")
+    texts = texts.repartition(F.col("key")).sortWithinPartitions("key")
+    return texts.mapInArrow(_resolver(words, sketch, percent), "a long, b long")
+
+
+def _cluster_links(spark: SparkSession, rows: DataFrame, classes: DataFrame, clusters: DataFrame, pairs: DataFrame, words: int, sketch, percent: int, block_tokens: int, hubs: int = 32) -> DataFrame:
+    members = classes.select("row", "c1", "c2", "n").join(clusters.withColumnRenamed("node", "c1"), "c1").withColumnRenamed("comp", "cluster")
+    members = stored(spark, members, "members")
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("k"), F.ceil(F.sum("n") / block_tokens).alias("blocks"))
+    members = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("c1"), F.col("blocks")))
+    members = stored(spark, members, "members")
+    hub = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("c1", F.lit(1)), F.col("k")) < hubs)
+    blocks = F.when(hub, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("block"))
+    placed = members.select("row", "c1", "c2", F.col("c1").alias("comp"), F.lit(ASKED).alias("role"), "cluster", F.explode(blocks).alias("to"))
+    placed = placed.select("row", "c1", "c2", "comp", "role", F.xxhash64("cluster", "to").alias("key"))
+    # pairs of short lists, unless both meet in a cluster's only block; the first of a pair asks
+    near = members.where("blocks = 1").select("c1", "cluster")
+    apart = pairs.join(near.toDF("a", "ca"), "a", "left").join(near.toDF("b", "cb"), "b", "left").where("ca is null or cb is null or ca <> cb").select("a", "b")
+    of = classes.select("row", "c1", "c2")
+    ends = apart.select(F.col("a").alias("c1"), F.lit(ASKED).alias("role"), "a").distinct().unionByName(apart.select(F.col("b").alias("c1"), F.lit(THERE).alias("role"), "a"))
+    ends = ends.join(of, "c1").select("row", "c1", "c2", F.col("c1").alias("comp"), "role", F.xxhash64("a").alias("key"))
+    placed = placed.unionByName(ends)
+    links = stored(spark, _met(rows, stored(spark, placed, "placed"), words, sketch, percent), "links")
+
+    large = stored(spark, members.where("blocks > 1"), "large")
+    if large.isEmpty():
+        return links
+    comps = components(spark, links).withColumnRenamed("node", "c1")
+    large = large.join(comps, "c1", "left").withColumn("comp", F.coalesce("comp", "c1"))
+    counts = large.groupBy("cluster", "comp").agg(F.count("*").alias("k"))
+    main = counts.groupBy("cluster").agg(F.max(F.struct("k", "comp")).getField("comp").alias("main"))
+    large = stored(spark, large.join(main, "cluster").withColumn("out", F.col("comp") != F.col("main")), "large")
+    outer = large.where("out").groupBy("cluster").agg(F.ceil(F.sum("n") / block_tokens).alias("outers"))
+    large = large.join(outer, "cluster")
+    columns = ["row", "c1", "c2", "comp"]
+    key = lambda u, j: F.xxhash64("cluster", u, j).alias("key")
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    asked = large.where("out").withColumn("u", F.pmod(F.xxhash64("c1", F.lit(2)), F.col("outers"))).select(*columns, F.lit(ASKED).alias("role"), "cluster", "u", upto("blocks").alias("j"))
+    there = large.select(*columns, F.when(F.col("out"), THERE).otherwise(MAIN).alias("role"), "cluster", upto("outers").alias("u"), F.col("block").alias("j"))
+    placed = asked.unionByName(there).select(*columns, "role", key("u", "j"))
+    return links.unionByName(stored(spark, _met(rows, stored(spark, placed, "placed"), words, sketch, percent), "links"))
+
+
+def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", most_postings: int = 1 << 21, block_tokens: int = 1 << 20, short_list: int = 32) -> DataFrame:
+    """row, doc_id, n_shingles, component_id (least doc_id reachable by links of at least `percent`), component (a key that
+    it has even where no doc_id is) of every row of docs."""
     spark = docs.sparkSession
     rows = _rows(docs, id_col, text_col)
     scanned = stored(spark, rows.select("row", "text", "doc_id").mapInArrow(_classes(words), "row long, doc_id long, n long, c1 long, c2 long, range int, counts binary"), "shingle-classes")
@@ -319,49 +455,29 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 75, id
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sent = rows.select("row", "text").mapInArrow(_dealer(n_parts, words, percent, sketch, most_postings), "part int, sub int, heads binary, tails binary")
     sent = sent.repartitionById(n_parts, F.col("part")).sortWithinPartitions("sub")
-    lists = sent.mapInArrow(_lister, "list long, node long, n long, size long").distinct().withColumn("comp", F.col("node"))
-    lists = stored(spark, lists, "lists")
-
-    classes = of_docs.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"))
-    wanted = lists.select(F.col("node").alias("c1")).distinct()
-    wanted = stored(spark, classes.join(wanted, "c1", "left_semi").select("row", "c1", "c2"), "wanted")
-    texts = rows.select("row", "text").join(wanted, "row").dropDuplicates(["c1", "c2"])
-    sets = stored(spark, texts.select("row", "text", "c1", "c2").mapInArrow(_set_rows(words), "node long, codes binary"), "sets")
-
-    links: list[DataFrame] = []
-    tested: list[DataFrame] = []
-    comps, leaders = None, 1
-    while True:
-        pairs, lists = _pairs(lists, comps, leaders, percent)
-        for t in tested:
-            pairs = pairs.join(t, ["a", "b"], "left_anti")
-        pairs = stored(spark, pairs, "pairs")
-        tested.append(pairs)
-        if pairs.isEmpty() and (comps is None or lists.isEmpty()):
-            break
-        found = pairs.join(sets.select(F.col("node").alias("a"), F.col("codes").alias("left")), "a").join(sets.select(F.col("node").alias("b"), F.col("codes").alias("right")), "b")
-        links.append(stored(spark, found.select("a", "b", "left", "right").mapInArrow(_verifier(sketch, percent), "a long, b long"), "links"))
-        comps = stored(spark, components(spark, reduce(DataFrame.unionByName, links)), "components")
-        leaders *= 16
+    found = sent.mapInArrow(_lister(percent, short_list), "list long, a long, b long")
+    found = stored(spark, found.distinct(), "lists")
+    lists, pairs = found.where("b is null").select("list", F.col("a").alias("node")), found.where("b is not null").select("a", "b")
+
+    classes = stored(spark, of_docs.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), F.min("n").alias("n")), "classes")
+    least = lists.groupBy("list").agg(F.min("node").alias("b"))
+    clusters = components(spark, lists.join(least, "list").select(F.col("node").alias("a"), "b"))
+    links = _cluster_links(spark, rows, classes, clusters, pairs, words, sketch, percent, block_tokens)
+    comps = components(spark, links)
     own = classes.select("c1", "c2", "least")
-    if comps is None:
-        own = own.withColumn("component", F.col("least"))
-    else:
-        own = own.join(comps.withColumnRenamed("node", "c1"), "c1", "left").withColumn("comp", F.coalesce("comp", "c1"))
-        own = stored(spark, own, "classes")
-        low = own.groupBy("comp").agg(F.min("least").alias("component"))
-        own = own.join(low, "comp").select("c1", "c2", "component")
-    out = of_docs.join(own.select("c1", "c2", "component"), ["c1", "c2"], "left")
+    own = own.join(comps.withColumnRenamed("node", "c1"), "c1", "left").withColumn("comp", F.coalesce("comp", "c1"))
+    own = stored(spark, own, "classes")
+    low = own.groupBy("comp").agg(F.min("least").alias("component"))
+    own = own.join(low, "comp").select("c1", "c2", "comp", "component")
+    out = of_docs.join(own, ["c1", "c2"], "left")
     alone = F.col("n") == 0
-    return out.select("row", "doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+    return out.select("row", "doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), F.when(alone, F.col("row")).otherwise(F.col("comp")).alias("component"))
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs whose doc_id is their component's least, with all columns; of rows that share it and the text, one.
-
-    Rows without a doc_id stay if their component has no doc_id at all.
-    """
+    """One row of docs of each component, with all its columns: that with the least doc_id (and row key)."""
     found = jaccard_components(docs, id_col=id_col, text_col=text_col, **options)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("row").alias("__row")).distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
+    keep = found.groupBy("component").agg(first.getField("row").alias("__row")).select("__row")
     keyed = docs.withColumn("__row", F.xxhash64(F.col(id_col), F.col(text_col)))
-    return keyed.join(keep, "__row", "left_semi").dropDuplicates(["__row"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return keyed.join(stored(docs.sparkSession, keep, "kept"), "__row", "left_semi").dropDuplicates(["__row"]).select(*(F.col(f"`{c}`") for c in docs.columns))
