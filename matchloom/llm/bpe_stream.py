@@ -168,20 +168,25 @@ class Transducer:
         v, n = self.v, len(data)
         grow, fits, tried = v.begins.get, v._fits.get, v.fits
         last = [-1] * (n + 1)
-        for start in range(n):
-            previous = last[start]
-            if start and previous < 0:
-                continue
-            for end in range(start + 1, n + 1):
-                token = grow(data[start:end])
-                if token is None:  # no token begins like this
-                    break
-                if token >= 0 and last[end] < 0:  # a prefix has one last token, so the first that fits is the one
-                    if start:
-                        known = fits(previous << 20 | token)
-                        if not (tried(previous, token) if known is None else known):
-                            continue
-                    last[end] = token
+        for end in range(1, n + 1):
+            token = grow(data[:end])
+            if token is None:  # no token begins like this
+                break
+            last[end] = token
+        if last[n] < 0:
+            for start in range(1, n):
+                previous = last[start]
+                if previous < 0:
+                    continue
+                high = previous << 20
+                for end in range(start + 1, n + 1):
+                    token = grow(data[start:end])
+                    if token is None:
+                        break
+                    if token >= 0 and last[end] < 0:  # a prefix has one last token, so the first that fits is the one
+                        known = fits(high | token)
+                        if tried(previous, token) if known is None else known:
+                            last[end] = token
         out = []
         while n:
             out.append(last[n])
@@ -228,7 +233,7 @@ class Transducer:
 class Coder:
     """Texts to ids and back. most_runs and most_parts bound the tables of coded runs and pre-tokens; when one is full, its later half goes."""
 
-    def __init__(self, path: str, most_runs: int = 300_000, most_parts: int = 500_000):
+    def __init__(self, path: str, most_runs: int = 800_000, most_parts: int = 100_000):
         self.v = Vocabulary(path)
         self.transducer = Transducer(self.v)
         self.most_runs, self.most_parts = most_runs, most_parts
@@ -253,9 +258,23 @@ class Coder:
         return known
 
     def run(self, text: str) -> tuple[tuple[int, ...], str]:
-        ids = tuple(chain.from_iterable(map(self.part, SPLIT.findall(text))))
+        if len(text) <= 64 and (text.isalpha() or text[0] == " " and text[1:].isalpha()):  # one pre-token
+            ids = tuple(self.transducer.whole(text.encode()))
+        else:
+            ids = tuple(chain.from_iterable(map(self.part, SPLIT.findall(text))))
         return ids, ",".join(map(str, ids))
 
+    def _met(self, run: str) -> tuple[tuple[int, ...], str]:
+        entry = self.runs.get(run)
+        if entry is None:
+            if run[-1] in ".,;:" and run[-2:-1].isalpha():  # the mark is a pre-token of its own
+                (ids, told), (mark, mark_told) = self._met(run[:-1]), self._met(run[-1])
+                return ids + mark, f"{told},{mark_told}"
+            entry = self.run(run)
+            if len(run) <= 64:
+                self.runs[run] = entry
+        return entry
+
     def coded(self, text: str) -> list[tuple[tuple[int, ...], str]]:
         """Ids, and the same written in decimal, of each run of the text."""
         if self.special and any(s in text for s in self.v.special):
@@ -275,12 +294,7 @@ class Coder:
         if None in out:
             for k, run in enumerate(found):
                 if out[k] is None:
-                    entry = known.get(run)
-                    if entry is None:
-                        entry = self.run(run)
-                        if len(run) <= 64:
-                            known[run] = entry
-                    out[k] = entry
+                    out[k] = self._met(run)
             if len(known) > self.most_runs:
                 self.runs = dict(islice(known.items(), self.most_runs // 2))
             if len(self.parts) > self.most_parts:
