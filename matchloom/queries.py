@@ -24,8 +24,16 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents over as many tasks as there are cores. A table of fewer partitions than that is small, so dealing its rows
+    out anew costs little; larger ones stay as they are scanned."""
+    df = _t(spark, sf, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores, "doc_id") if df.rdd.getNumPartitions() < cores else df
+
+
 def _records(spark: SparkSession, sf: str) -> DataFrame:
-    return _t(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("country"), T.clean_lexical(F.col("text")).alias("name"))
+    return _documents(spark, sf).select(F.col("doc_id").alias("id"), F.col("lang").alias("country"), T.clean_lexical(F.col("text")).alias("name"))
 
 
 def _sides(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -37,16 +45,16 @@ def _tokens(df: DataFrame) -> DataFrame:
 
 
 def entity_clean_rules(spark, sf):
-    return _t(spark, sf, "documents").select("doc_id", T.clean_text(F.col("text")).alias("clean"))
+    return _documents(spark, sf).select("doc_id", T.clean_text(F.col("text")).alias("clean"))
 
 
 def entity_clean_lexical(spark, sf):
     clean = T.clean_lexical(F.col("text"))
-    return _t(spark, sf, "documents").select("doc_id", clean.alias("clean")).select("doc_id", "clean", T.skeleton(F.col("clean")).alias("skeleton"), F.size(T.tokens(F.col("clean"))).cast("long").alias("n_tokens"))
+    return _documents(spark, sf).select("doc_id", clean.alias("clean")).select("doc_id", "clean", T.skeleton(F.col("clean")).alias("skeleton"), F.size(T.tokens(F.col("clean"))).cast("long").alias("n_tokens"))
 
 
 def extract_pin_house_state(spark, sf):
-    df = _t(spark, sf, "documents").select("doc_id", T.ascii_only(F.col("text")).alias("raw"), T.clean_lexical(F.col("text")).alias("clean"))
+    df = _documents(spark, sf).select("doc_id", T.ascii_only(F.col("text")).alias("raw"), T.clean_lexical(F.col("text")).alias("clean"))
     return df.select("doc_id", T.pin_code(F.col("raw")).alias("pin"), T.first_number(F.col("raw")).alias("number"), T.house_number(F.col("clean")).alias("house"), T.state_phrase(F.col("clean")).alias("state"))
 
 
@@ -294,7 +302,7 @@ def country_distribution(spark, sf):
 
 
 def dedupe_encode_join(spark, sf):
-    return cache.once_per_value(_t(spark, sf, "documents").select("doc_id", "text"), "text", "code", lambda c: F.sha2(T.clean_lexical(c), 256)).select("doc_id", "code")
+    return cache.once_per_value(_documents(spark, sf).select("doc_id", "text"), "text", "code", lambda c: F.sha2(T.clean_lexical(c), 256)).select("doc_id", "code")
 
 
 def embedding_cache_join(spark, sf):
@@ -304,7 +312,7 @@ def embedding_cache_join(spark, sf):
 
 
 def encoded_records(spark, sf):
-    v = cache.encoded(_t(spark, sf, "documents"), "doc_id", "text", cache.hashing_encoder())
+    v = cache.encoded(_documents(spark, sf), "doc_id", "text", cache.hashing_encoder())
     return v.select("id", F.round(S.norm(F.col("vector")), 6).alias("norm"))
 
 
