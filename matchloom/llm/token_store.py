@@ -3,7 +3,7 @@
 A shard holds the ids of consecutive documents. Its ids are cut into segments of a bounded number of tokens; a segment
 has one frequency table, counted over all its tokens and shared by its blocks. A block codes up to ``block_tokens`` ids
 in ``lanes`` interleaved states (token i belongs to lane i mod lanes), so numpy codes a whole row of lanes at a time.
-Blocks depend on nothing but the table: each carries its states, its length, a checksum of its words and one of its ids,
+Blocks depend on nothing but the table: each carries its states, its length, a checksum of its bytes and one of its ids,
 and within it a checkpoint (states and word position) every ``checkpoint_steps`` rows, from which decoding can start.
 
 Layout, little-endian: "RTOK0001", then segments, then the footer (pickled by numpy's plain arrays: doc ids, ids per
@@ -93,14 +93,18 @@ def encode_block(ids: np.ndarray, table: Table, lanes: int, checkpoint_steps: in
         if step and step % checkpoint_steps == 0:
             marks.append((step, written, x.copy()))
     payload = np.concatenate(words[::-1]).astype("<u4").tobytes() if words else b""
-    out = [struct.pack("<IIIII", n, written, crc(payload), crc(ids.astype("<u4").tobytes()), len(marks)), x.astype("<u8").tobytes()]
+    parts = [x.astype("<u8").tobytes()]
     for step, left, state in reversed(marks):
-        out += [struct.pack("<II", step, written - left), state.astype("<u8").tobytes()]
-    return b"".join([*out, payload])
+        parts += [struct.pack("<II", step, written - left), state.astype("<u8").tobytes()]
+    body = b"".join([*parts, payload])
+    return struct.pack("<IIIII", n, written, crc(body), crc(ids.astype("<u4").tobytes()), len(marks)) + body
 
 
 def read_block(data: memoryview, lanes: int) -> tuple[dict, int]:
-    n, n_words, words_crc, ids_crc, n_marks = struct.unpack_from("<IIIII", data)
+    n, n_words, body_crc, ids_crc, n_marks = struct.unpack_from("<IIIII", data)
+    end = 20 + 8 * lanes + n_marks * (8 + 8 * lanes) + 4 * n_words
+    if len(data) < end or crc(data[20:end]) != body_crc:
+        raise ValueError("a block is damaged")
     at = 20
     points = [(0, 0, np.frombuffer(data, "<u8", lanes, at))]
     at += 8 * lanes
@@ -108,10 +112,7 @@ def read_block(data: memoryview, lanes: int) -> tuple[dict, int]:
         step, word = struct.unpack_from("<II", data, at)
         points.append((step, word, np.frombuffer(data, "<u8", lanes, at + 8)))
         at += 8 + 8 * lanes
-    payload = data[at : at + 4 * n_words]
-    if len(payload) != 4 * n_words or crc(payload) != words_crc:
-        raise ValueError("a block's words are damaged")
-    return {"n": n, "ids_crc": ids_crc, "points": points, "words": np.frombuffer(payload, "<u4")}, at + 4 * n_words
+    return {"n": n, "ids_crc": ids_crc, "points": points, "words": np.frombuffer(data, "<u4", n_words, at)}, end
 
 
 def decode_block(block: dict, table: Table, slots: np.ndarray, lanes: int, point: int = 0) -> np.ndarray:
