@@ -69,6 +69,15 @@ def get(uri: str) -> bytes:
         return f.read()
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores before them as it takes to be none of df's columns in any case."""
+    have = {c.lower() for c in df.columns}
+    marks = "__"
+    while any(f"{marks}{n}" in have for n in names):
+        marks += "_"
+    return [f"{marks}{n}" for n in names]
+
+
 def doc_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id and the text under fixed names; other columns, whatever their names, are left behind. Null text: empty."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

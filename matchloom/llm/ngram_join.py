@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import slices, stored
+from matchloom.llm.common import slices, stored, unused
 from matchloom.llm.words import Words, mixed
 
 ROW_BITS, RANGES = 23, 64
@@ -478,6 +478,7 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """One row of docs of each component, with all its columns: that with the least doc_id (and row key)."""
     found = jaccard_components(docs, id_col=id_col, text_col=text_col, **options)
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
-    keep = found.groupBy("component").agg(first.getField("row").alias("__row")).select("__row")
-    keyed = docs.withColumn("__row", F.xxhash64(F.col(id_col), F.col(text_col)))
-    return keyed.join(stored(docs.sparkSession, keep, "kept"), "__row", "left_semi").dropDuplicates(["__row"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    (key,) = unused(docs, "row")
+    keep = found.groupBy("component").agg(first.getField("row").alias(key)).select(key)
+    keyed = docs.withColumn(key, F.xxhash64(F.col(id_col), F.col(text_col)))
+    return keyed.join(stored(docs.sparkSession, keep, "kept"), key, "left_semi").dropDuplicates([key]).drop(key)

@@ -25,10 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import slices
+from matchloom.llm.common import slices, unused
 from matchloom.llm.words import Words, mixed
 
 RUN = np.dtype([("row", "<i8"), ("start", "<i4"), ("n", "<i4"), ("source", "<i8"), ("source_start", "<i4")])
@@ -200,26 +200,28 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from close()
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Every column of docs as it is, and a key of the row: equal only for rows with equal id and text."""
-    return docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("__row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"), *(F.col(f"`{c}`") for c in docs.columns))
+def _key(id_col: str, text_col: str) -> Column:
+    """A key of the row: equal only for rows with equal id and text."""
+    return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
 def repeated_factors(docs: DataFrame, *, window: int = 35, anchor: int = 8, most_windows: int = 1 << 21, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row (xxhash64 of id and text), start and n (windows), source and source_start: the factors of all documents."""
     spark = docs.sparkSession
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = _keyed(docs, id_col, text_col).select("__row", "__text")
+    rows = docs.select(_key(id_col, text_col).alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     sent = rows.mapInArrow(_scanner(n_parts, window, anchor, most_windows), SENT)
     sent = sent.repartitionById(n_parts, F.col("part")).sortWithinPartitions("sub")
     return sent.mapInArrow(_index, "row long, start int, n int, source long, source_start int")
 
 
-def _with_spans(docs: DataFrame, window: int, id_col: str, text_col: str, **options) -> DataFrame:
-    spans = repeated_factors(docs, window=window, id_col=id_col, text_col=text_col, **options)
+def _with_spans(docs: DataFrame, window: int, id_col: str, text_col: str, **options) -> tuple[DataFrame, str]:
+    """docs with a column of their spans (null: none), and that column's name."""
+    key, name = unused(docs, "row", "spans")
+    found = repeated_factors(docs, window=window, id_col=id_col, text_col=text_col, **options)
     # a document's own factors: as many as the document is long, whatever is repeated how often
-    spans = spans.groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("__spans"))
-    return _keyed(docs, id_col, text_col).join(spans, F.col("__row") == F.col("row"), "left").drop("row")
+    spans = found.groupBy(F.col("row").alias(key)).agg(F.collect_list(F.struct("start", "n")).alias(name))
+    return docs.withColumn(key, _key(id_col, text_col)).join(spans, key, "left").drop(key), name
 
 
 def _marks(n: int, spans: pa.Scalar, window: int) -> np.ndarray:
@@ -252,9 +254,9 @@ def removal_digest(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id",
                 ["doc_id", "n_words", "n_removed", "kept_sha256"],
             )
 
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = _with_spans(docs, window, "doc_id", "text", **options)
-    return rows.select("doc_id", "__text", "__spans").mapInArrow(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows, spans = _with_spans(docs, window, "doc_id", "text", **options)
+    return rows.select("doc_id", F.coalesce("text", F.lit("")), spans).mapInArrow(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -267,6 +269,6 @@ def without_repeats(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id"
             columns = [pa.array(texts, pa.string()) if n == text_col else c for n, c in zip(batch.schema.names[2:], batch.columns[2:], strict=True)]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[2:])
 
-    rows = _with_spans(docs, window, id_col, text_col, **options)
-    rows = rows.withColumn("__text", F.col(text_col)).select("__spans", "__text", *(F.col(f"`{c}`") for c in docs.columns))
-    return rows.mapInArrow(cut, docs.schema)
+    rows, name = _with_spans(docs, window, id_col, text_col, **options)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return rows.select(F.col(name), F.col(f"`{text_col}`").alias(f"{name}_text"), *columns).mapInArrow(cut, docs.schema)
