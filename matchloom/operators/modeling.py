@@ -30,6 +30,10 @@ class Reranker:
         out = self.model.transform(df).withColumn("prob", vector_to_array("probability")[1])
         return out.drop("features", "rawPrediction", "probability", "prediction")
 
+    def importances(self) -> dict[str, float]:
+        columns = self.model.stages[0].getInputCols()
+        return dict(zip(columns, self.model.stages[-1].featureImportances.toArray().tolist(), strict=True))
+
     def save(self, path: str) -> None:
         self.model.write().overwrite().save(path)
 
@@ -73,3 +77,11 @@ def calibrated(model: IsotonicRegressionModel, df: DataFrame, prob: str = "prob"
     """df with calibrated, clipped to [0, 1]."""
     model = model.copy({model.featuresCol: prob, model.predictionCol: "calibrated"})
     return model.transform(df).withColumn("calibrated", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "calibrated")))
+
+
+def save_run(df_holdout: DataFrame, path: str, **facts: float) -> None:
+    """One JSON row beside a saved model: the threshold, top k, recall and whatever else describes the run, with the holdout's
+    columns."""
+    for name, value in facts.items():
+        df_holdout = df_holdout.withColumn(name, F.lit(value))
+    df_holdout.coalesce(1).write.mode("overwrite").json(path)

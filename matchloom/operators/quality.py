@@ -82,3 +82,8 @@ def truth_summary(lists: DataFrame) -> DataFrame:
 def size_histogram(lists: DataFrame, top: int = 10) -> DataFrame:
     """The `top` most frequent list sizes (a report), ties by size."""
     return lists.groupBy(F.size("members").alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").limit(top)
+
+
+def examples(df: DataFrame, column: str, n: int = 5) -> list:
+    """The first n distinct values in order: what a report shows of an issue."""
+    return [r[0] for r in df.select(column).distinct().orderBy(column).limit(n).collect()]

@@ -78,3 +78,12 @@ def split_sizes(queries: DataFrame, pool: DataFrame, truth: DataFrame, n: int, p
     """The first n queries and n * per_query pool records by id, and the truth of those queries."""
     q = queries.orderBy("id").limit(n)
     return q, pool.orderBy("id").limit(n * per_query), truth.join(q.select(F.col("id").alias("query")), "query", "left_semi")
+
+
+def find_files(spark: SparkSession, root: str, name: str) -> list[str]:
+    """Paths of files of that name (or glob) anywhere below root, sorted; raises if there is none. Only names are read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", name).load(root).select("path")
+    paths = sorted(r["path"] for r in found.collect())
+    if not paths:
+        raise FileNotFoundError(f"{name} below {root}")
+    return paths

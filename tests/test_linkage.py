@@ -208,3 +208,28 @@ def test_lexical_run(spark):
     dense = pipelines.cascade_candidates(q, p, cache.hashing_encoder(), pipelines.Settings(cascade_in=6, cascade_out=2))
     assert dense.groupBy("query").count().where("count > 2").count() == 0
     assert pipelines.dense_candidates(q, p, cache.hashing_encoder(), pipelines.Settings(top_k=3)).count() == 120
+
+
+def test_model_and_facts_survive_saving(spark, tmp_path):
+    df = spark.createDataFrame([(float(i), int(i > 5)) for i in range(12)] * 3, "x double, label int")
+    model = modeling.fit_reranker(df, ["x"], iterations=2)
+    model.save(str(tmp_path / "model"))
+    again = modeling.Reranker.load(str(tmp_path / "model"))
+    assert again.transform(df).select("prob").distinct().count() > 1 and model.importances() == {"x": 1.0}
+    modeling.save_run(df.agg(F.count("*").alias("n_queries")), str(tmp_path / "facts"), threshold=0.5)
+    assert spark.read.json(str(tmp_path / "facts")).first().threshold == 0.5
+
+
+def test_files_are_found_below_a_root(spark, tmp_path):
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    (tmp_path / "a" / "b" / "x.tsv").write_text("entity_id\n")
+    assert [p.rsplit("/", 1)[1] for p in tables.find_files(spark, str(tmp_path), "x.tsv")] == ["x.tsv"]
+    with pytest.raises(FileNotFoundError):
+        tables.find_files(spark, str(tmp_path), "y.tsv")
+
+
+def test_canonical_text_is_the_clean_fields(spark):
+    df = tables.enrich(spark.createDataFrame([("Acme Co.", "12 St. James Rd", " us ")], "business_name string, business_address string, country string"))
+    text = df.select(T.entity_string(F.col("business_name"), F.col("business_address"), F.col("country")).alias("x"), T.clean_text(F.col("business_name")).alias("n"), T.clean_text(F.col("business_address")).alias("a")).first()
+    assert text.x == f"[US] {text.n} | {text.a}"
+    assert quality.examples(df, "country") == [" us "]
