@@ -5,8 +5,10 @@ neighbours could stand side by side (merging their bytes gives the two back). So
 last token, and the prefix's tokens are a path of such last tokens. The transducer keeps that path for the positions that a
 token yet to come may start at: no token is longer than ``max_token_bytes``, so these are the last max_token_bytes
 positions. Where all their paths have met, no further input can change anything before the meeting point, and the tokens up
-to there are emitted. How far back paths can meet is bounded by the merge list: ``sufficient_lookahead`` computes a bound in
-tokens from the longest chain of merges in which each can undo the one before it, so memory does not grow with the input.
+to there are emitted; so what is emitted is right however far the paths run apart. How far they can is a property of the
+merge list: input reaches back through merges each of which takes what the one before it begins with.
+``sufficient_lookahead`` gives the longest such chain (72 tokens for the vocabulary at hand), and tests hold the bytes that
+the transducer keeps against 2 * max_token_bytes on input without a break.
 
 Input is split as the vocabulary's pre-tokenizer splits it (the pattern looks one character ahead). Runs between white space
 are coded once and kept in a bounded table; whatever isn't in it goes through the transducer.
@@ -114,8 +116,8 @@ class Vocabulary:
                 j += 1
 
     def sufficient_lookahead(self) -> int:
-        """A bound, in tokens, on how far input can reach back: the longest chain of merges each of which takes the token
-        that the one before it starts with, over falling ranks, plus the token itself."""
+        """How many tokens input can reach back: the longest chain of merges, in order of rank, each of which takes on its
+        right what the one before it makes, and the token itself."""
         depth: dict[int, int] = {}
         for (a, b), _ in sorted(self.rank.items(), key=lambda x: x[1]):
             depth[b] = max(depth.get(b, 1), 1 + depth.get(a, 1))
