@@ -79,20 +79,35 @@ class WordEncoder:
 
     def _learn(self, new: list[str]) -> None:
         model = self.tokenizer.model.tokenize
-        plain = [w for w in new if _PLAIN(w)]
-        other = [w for w in new if not _PLAIN(w)]
-        lists = [[t.id for t in model(w if w.isascii() else w.encode().decode("latin-1").translate(_LETTERS))] for w in plain]
-        lists += [e.ids for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)]
-        new = plain + other
+        known, other, flat, counts = [], [], [], []
+        for w in new:
+            if w.isascii():
+                if not (w.isalpha() and w.islower()):
+                    other.append(w)
+                    continue
+                tokens = model(w)
+            elif _PLAIN(w):
+                tokens = model(w.encode().decode("latin-1").translate(_LETTERS))
+            else:
+                other.append(w)
+                continue
+            known.append(w)
+            counts.append(len(tokens))
+            flat += [t.id for t in tokens]
+        for w, coded in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
+            ids = coded.ids
+            known.append(w)
+            counts.append(len(ids))
+            flat += ids
+        new, total = known, len(flat)
+        lengths = np.array(counts, np.int64)
         n, at = len(self.index), self.used
-        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-        total = int(lengths.sum())
         while n + len(new) > len(self.offset):
             self.offset = np.concatenate([self.offset, np.zeros_like(self.offset)])
             self.length = np.concatenate([self.length, np.zeros_like(self.length)])
         while at + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[at : at + total] = np.fromiter((i for x in lists for i in x), np.uint32, total)
+        self.flat[at : at + total] = flat
         self.length[n : n + len(new)] = lengths
         self.offset[n : n + len(new)] = at + np.cumsum(lengths) - lengths
         self.index.update(zip(new, range(n, n + len(new)), strict=True))
