@@ -8,10 +8,13 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+_LOCAL_ROOTS: dict[str, str] = {}
+
+
 def folder(spark: SparkSession, what: str) -> str:
     """A new folder name below spark.checkpoint.dir; a local one only where the session names none, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="matchloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        root = _LOCAL_ROOTS[app] = _LOCAL_ROOTS.get(app) or "file://" + tempfile.mkdtemp(prefix="matchloom-")
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}"
