@@ -26,18 +26,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+_LOCAL_ROOTS: dict[str, str] = {}
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share. Only where the session names none (tests), a local one is made."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="matchloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        root = _LOCAL_ROOTS[app] = _LOCAL_ROOTS.get(app) or "file://" + tempfile.mkdtemp(prefix="matchloom-")
     return root if "://" in root or root.startswith("file:") else "file://" + os.path.abspath(root)
 
 
+def _own_root(spark: SparkSession) -> str:
+    return f"{shared_root(spark).rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new folder name below the shared root."""
-    return f"{shared_root(spark).rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}"
+    """A new folder name below the application's part of the shared root."""
+    return f"{_own_root(spark)}/{what}-{uuid.uuid4().hex[:12]}"
+
+
+def release(spark: SparkSession) -> None:
+    """Removes all that this application's operators have stored. For when their results are written: DataFrames that they
+    returned read from there."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_own_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:

@@ -443,7 +443,7 @@ def _cluster_links(spark: SparkSession, rows: DataFrame, classes: DataFrame, clu
     return links.unionByName(stored(spark, _met(rows, stored(spark, placed, "placed"), words, sketch, percent), "links"))
 
 
-def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", most_postings: int = 1 << 21, block_tokens: int = 1 << 20, short_list: int = 32) -> DataFrame:
+def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", most_postings: int = 1 << 20, block_tokens: int = 1 << 20, short_list: int = 32) -> DataFrame:
     """row, doc_id, n_shingles, component_id (least doc_id reachable by links of at least `percent`), component (a key that
     it has even where no doc_id is) of every row of docs."""
     spark = docs.sparkSession

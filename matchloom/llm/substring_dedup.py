@@ -205,7 +205,7 @@ def _key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
-def repeated_factors(docs: DataFrame, *, window: int = 35, anchor: int = 8, most_windows: int = 1 << 21, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_factors(docs: DataFrame, *, window: int = 35, anchor: int = 8, most_windows: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row (xxhash64 of id and text), start and n (windows), source and source_start: the factors of all documents."""
     spark = docs.sparkSession
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

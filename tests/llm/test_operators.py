@@ -575,5 +575,29 @@ def test_slices_bound_their_size():
     assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
 
 
+def test_release_removes_what_was_stored(spark, monkeypatch):
+    from pathlib import Path
+
+    from matchloom.llm import common
+
+    root = f"{common.shared_root(spark)}/own"
+    monkeypatch.setattr(common, "shared_root", lambda spark: root)
+    df = stored(spark, spark.range(3), "x")
+    folder = Path(root.removeprefix("file://")) / spark.sparkContext.applicationId
+    assert df.count() == 3 and folder.exists()
+    common.release(spark)
+    assert not folder.exists()
+
+
+def test_a_session_without_a_shared_folder(spark, monkeypatch):
+    from matchloom.llm import common
+
+    class Bare:
+        sparkContext = spark.sparkContext
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default: default)})
+
+    assert common.shared_root(Bare).startswith("file:///") and common.shared_root(Bare) == common.shared_root(Bare)
+
+
 def test_empty_schema_types(spark, docs):
     assert isinstance(packing.pack_documents(docs).schema["ids"].dataType, T.BinaryType)
