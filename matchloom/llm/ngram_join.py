@@ -148,9 +148,44 @@ def _sketch(scanned: DataFrame) -> np.ndarray:
     return out.reshape(len(SEEDS), -1)
 
 
-def _dealer(n_parts: int, words: int, percent: int, sketch, most: int):
+LONG = np.uint32(1 << 31)  # set in a head's n where the shingle's list is long already
+
+
+def _joined(code: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a name, node) that join all nodes which lists (equal codes) connect: one row per node."""
+    names, member = np.unique(node, return_inverse=True)
+    order = np.argsort(code, kind="stable")
+    member, code = member[order], code[order]
+    first = np.nonzero(np.append(True, code[1:] != code[:-1]))[0] if len(code) else np.empty(0, np.int64)
+    size = np.diff(np.append(first, len(code)))
+    label = np.arange(len(names))
+    while len(first):
+        low = label.copy()
+        np.minimum.at(low, member, np.repeat(np.minimum.reduceat(label[member], first), size))
+        low = low[low]
+        if (low == label).all():
+            break
+        label = low
+    return names[label], names
+
+
+def _dealer(n_parts: int, words: int, percent: int, sketch, most: int, short: int):
     def send(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         node, n, code = (np.concatenate(x) for x in zip(*held, strict=True))
+        # a shingle that many classes have here already: they are joined here, and one of them goes on for all
+        order = np.argsort(code, kind="stable")
+        first = np.nonzero(np.append(True, code[order][1:] != code[order][:-1]))[0]
+        size = np.diff(np.append(first, len(code)))
+        many = np.zeros(len(code), bool)
+        many[order] = np.repeat(size > short, size)
+        if many.any():
+            names, nodes = _joined(code[many], node[many])
+            for i in range(0, len(nodes), 1 << 16):
+                yield _sent([((i >> 16) % n_parts, SUBS, names[i : i + (1 << 16)].tobytes(), nodes[i : i + (1 << 16)].tobytes())])
+            ahead = order[first[size > short]]
+            n[ahead] |= LONG
+            many[ahead] = False
+            node, n, code = node[~many], n[~many], code[~many]
         slot = (code % np.uint64(n_parts * SUBS)).astype(np.int64)
         order = np.argsort(slot, kind="stable")
         node, n, code, slot = node[order], n[order], code[order], slot[order]
@@ -158,7 +193,7 @@ def _dealer(n_parts: int, words: int, percent: int, sketch, most: int):
         rows = []
         for k in np.nonzero(np.diff(bounds))[0].tolist():
             a, b = bounds[k], bounds[k + 1]
-            first = np.nonzero(np.append(True, node[a + 1 : b] != node[a : b - 1]))[0]
+            first = np.nonzero(np.append(True, (node[a + 1 : b] != node[a : b - 1]) | (n[a + 1 : b] != n[a : b - 1])))[0]
             heads = np.empty(len(first), HEAD)
             heads["node"], heads["n"], heads["count"] = node[a:b][first], n[a:b][first], np.diff(np.append(first, b - a))
             tails = np.ascontiguousarray((code[a:b] >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
@@ -201,8 +236,8 @@ def _listed(names: np.ndarray | None, a: np.ndarray, b: np.ndarray | None) -> pa
 
 
 def _lister(percent: int, short: int):
-    """Classes that share a prefix shingle: rows (list, a) of long lists, (a, b) of the pairs of short ones. Equal lists, and
-    equal pairs, of a task's piece come once."""
+    """Classes that share a prefix shingle: (a, b) of the pairs of short lists; for long ones (list, a), where all classes that
+    the long lists of a task's piece connect have one name."""
     return lambda batches: _lists(batches, percent, short)
 
 
@@ -210,34 +245,40 @@ def _lists(batches: Iterator[pa.RecordBatch], percent: int, short: int) -> Itera
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     sub = -1
 
+    def rows(names: np.ndarray | None, a: np.ndarray, b: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(a), 1 << 16):
+            cut = slice(i, i + (1 << 16))
+            yield _listed(None if names is None else names[cut], a[cut], None if b is None else b[cut])
+
     def close() -> Iterator[pa.RecordBatch]:
         node, n, code = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.lexsort((node, code))
         node, n, code = node[order], n[order], code[order]
+        first = np.nonzero(np.append(True, code[1:] != code[:-1]))[0]
+        long = np.bitwise_or.reduceat(n, first) & LONG > 0
+        n = n & ~LONG
         fresh = np.ones(len(code), bool)
         fresh[1:] = (code[1:] != code[:-1]) | (node[1:] != node[:-1])
         node, n, code = node[fresh], n[fresh], code[fresh]
-        first = np.nonzero(np.append(True, code[1:] != code[:-1]))[0] if len(code) else np.empty(0, np.int64)
+        first = np.nonzero(np.append(True, code[1:] != code[:-1]))[0]
         size = np.diff(np.append(first, len(code)))
+        long |= size > short
+        # short lists as pairs, of which each has a bounded number; equal lists once
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(node.view(np.uint64)), dtype=np.uint64)])
         name = mixed(sums[first + size] - sums[first] + size.astype(np.uint64))
-        chosen = np.nonzero(size > 1)[0]
+        chosen = np.nonzero((size > 1) & ~long)[0]
         chosen = chosen[np.unique(name[chosen], return_index=True)[1]]
-        # short lists as pairs, of which each has a bounded number
         pairs = [np.empty((2, 0), np.int64)]
-        for k in np.unique(size[chosen][size[chosen] <= short]).tolist():
+        for k in np.unique(size[chosen]).tolist():
             at = first[chosen[size[chosen] == k]]
             x, y = (at[:, None] + i for i in np.triu_indices(k, 1))
             fit = 100 * np.minimum(n[x], n[y]).astype(np.int64) >= percent * np.maximum(n[x], n[y]).astype(np.int64)
             pairs.append(np.stack([node[x[fit]], node[y[fit]]]))
         pairs = np.unique(np.concatenate(pairs, axis=1), axis=1)
-        for i in range(0, pairs.shape[1], 1 << 16):
-            yield _listed(None, pairs[0, i : i + (1 << 16)], pairs[1, i : i + (1 << 16)])
-        chosen = chosen[size[chosen] > short]
-        at = np.repeat(first[chosen] - (np.cumsum(size[chosen]) - size[chosen]), size[chosen]) + np.arange(int(size[chosen].sum()))
-        names = np.repeat(name[chosen].view(np.int64), size[chosen])
-        for i in range(0, len(at), 1 << 16):
-            yield _listed(names[i : i + (1 << 16)], node[at[i : i + (1 << 16)]], None)
+        yield from rows(None, pairs[0], pairs[1])
+        in_long = np.repeat(long, size)
+        names, nodes = _joined(code[in_long], node[in_long])
+        yield from rows(names, nodes, None)
 
     for batch in batches:
         subs = batch.column(1).to_pylist()
@@ -246,10 +287,13 @@ def _lists(batches: Iterator[pa.RecordBatch], percent: int, short: int) -> Itera
                 if held:
                     yield from close()
                 held, sub = [], subs[k]
-            head = np.frombuffer(batch.column(2)[k].as_py(), HEAD)
-            tails = np.frombuffer(batch.column(3)[k].as_py(), np.uint8).reshape(-1, 6)
-            code = np.zeros((len(tails), 8), np.uint8)
-            code[:, :6] = tails
+            heads, tails = batch.column(2)[k].as_py(), batch.column(3)[k].as_py()
+            if subs[k] == SUBS:  # joined in the scan
+                yield from rows(np.frombuffer(heads, np.int64), np.frombuffer(tails, np.int64), None)
+                continue
+            head = np.frombuffer(heads, HEAD)
+            code = np.zeros((len(tails) // 6, 8), np.uint8)
+            code[:, :6] = np.frombuffer(tails, np.uint8).reshape(-1, 6)
             held.append((np.repeat(head["node"], head["count"]), np.repeat(head["n"], head["count"]), code.view("<u8").reshape(-1)))
     if held:
         yield from close()
@@ -453,7 +497,7 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 75, id
     of_docs = scanned.where("row is not null").select("row", "doc_id", "n", "c1", "c2")
 
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sent = rows.select("row", "text").mapInArrow(_dealer(n_parts, words, percent, sketch, most_postings), "part int, sub int, heads binary, tails binary")
+    sent = rows.select("row", "text").mapInArrow(_dealer(n_parts, words, percent, sketch, most_postings, short_list), "part int, sub int, heads binary, tails binary")
     sent = sent.repartitionById(n_parts, F.col("part")).sortWithinPartitions("sub")
     found = sent.mapInArrow(_lister(percent, short_list), "list long, a long, b long")
     found = stored(spark, found.distinct(), "lists")
