@@ -62,6 +62,14 @@ def stored(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Has Arrow batches of at most `rows` rows from here on: the default of 10,000 is tens of MB of whole texts, in the JVM's
+    direct memory and in the Python worker at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > rows:
+        spark.conf.set(key, str(rows))
+
+
 def opened(uri: str) -> tuple[pafs.FileSystem, str]:
     if uri.startswith("file:") and not uri.startswith("file://"):
         uri = "file://" + uri[5:]

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import doc_rows, slices
+from matchloom.llm.common import doc_rows, slices, small_batches
 from matchloom.llm.wordtok import encoder, vocabulary
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -122,12 +122,13 @@ def _packer(path: str, capacity: int, end_id: int, most_tokens: int):
     return pack
 
 
-def pack_documents(docs: DataFrame, *, tokenizer_path: str | None = None, capacity: int = 4096, end_id: int = 2, most_tokens: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, *, tokenizer_path: str | None = None, capacity: int = 4096, end_id: int = 2, most_tokens: int = 3_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
     The rows of a hash partition are sorted before they are packed, so that a task that runs again packs alike.
     """
     path = tokenizer_path or vocabulary("word_bpe_49k.json")
+    small_batches(docs.sparkSession)
     rows = doc_rows(docs, id_col, text_col)
     rows = rows.repartition(F.xxhash64("doc_id")).sortWithinPartitions("doc_id", "text")
     return rows.mapInArrow(_packer(path, capacity, end_id, most_tokens), SCHEMA)

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import crc, doc_rows, get, put, scratch, slices, stored
+from matchloom.llm.common import crc, doc_rows, get, put, scratch, slices, small_batches, stored
 from matchloom.llm.wordtok import encoder, vocabulary
 
 BITS = 20  # a table's frequencies add up to 2**BITS
@@ -204,13 +204,14 @@ def read_shard(data: bytes) -> Iterator[tuple[int | None, np.ndarray]]:
         raise ValueError("the shard's documents and ids don't match")
 
 
-def write_token_shards(docs: DataFrame, folder: str, *, tokenizer_path: str | None = None, end_id: int = 1, lanes: int = 1024, block_tokens: int = 1 << 18, segment_tokens: int = 1 << 22, checkpoint_steps: int = 128, shard_tokens: int = 1 << 25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_token_shards(docs: DataFrame, folder: str, *, tokenizer_path: str | None = None, end_id: int = 1, lanes: int = 1024, block_tokens: int = 1 << 18, segment_tokens: int = 1 << 21, checkpoint_steps: int = 128, shard_tokens: int = 1 << 25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the shards and returns the manifest: path, part, piece, n_docs, n_tokens, start (tokens before the shard).
 
     A partition with over shard_tokens ids gives several shards; at most a segment's ids and a shard's bytes are held.
     """
     path = tokenizer_path or vocabulary("word_bpe_49k.json")
     spark = docs.sparkSession
+    small_batches(spark)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, tokenizer, piece = TaskContext.get().partitionId(), encoder(path), 0

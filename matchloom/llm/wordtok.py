@@ -16,6 +16,9 @@ import numpy as np
 #: Pieces that normalisation and splitting leave as they are: they go to the library's model directly.
 _PLAIN = re.compile(r"[a-z\xe0-\xf6\xf8-\xff]+").fullmatch
 
+#: Letters and then marks: two pieces, whatever the marks, as none of them is the apostrophe that some splits begin with.
+_MARKED = re.compile(r"([a-z\xe0-\xf6\xf8-\xff]+)([!-&(-/:-@\[-`{-~]+)").fullmatch
+
 
 def byte_letters() -> dict[int, str]:
     """The letters by which byte-level vocabularies write the 256 bytes: printable ones stand for themselves, the others
@@ -28,6 +31,12 @@ def byte_letters() -> dict[int, str]:
 _LETTERS = byte_letters()
 
 
+def _spelled(w: str) -> str:
+    """As the vocabulary writes the word's bytes."""
+    return w if w.isascii() else w.encode().decode("latin-1").translate(_LETTERS)
+
+
+
 def _tables() -> tuple[bytes, bytes]:
     """For Latin-1 bytes: lower case with line ends as spaces; and the kind: letter or digit a, space, [.,] as full stop,
     anything else an exclamation mark."""
@@ -45,7 +54,7 @@ class WordEncoder:
     """ids of many texts. most_words bounds the table; when it is full, the half that was learned last goes, as the
     words met first are the frequent ones."""
 
-    def __init__(self, path: str, most_words: int = 300_000):
+    def __init__(self, path: str, most_words: int = 200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -81,13 +90,12 @@ class WordEncoder:
         model = self.tokenizer.model.tokenize
         known, other, flat, counts = [], [], [], []
         for w in new:
-            if w.isascii():
-                if not (w.isalpha() and w.islower()):
-                    other.append(w)
-                    continue
+            if w.isascii() and w.isalpha() and w.islower():
                 tokens = model(w)
             elif _PLAIN(w):
-                tokens = model(w.encode().decode("latin-1").translate(_LETTERS))
+                tokens = model(_spelled(w))
+            elif m := _MARKED(w):
+                tokens = model(_spelled(m[1])) + model(m[2])
             else:
                 other.append(w)
                 continue
