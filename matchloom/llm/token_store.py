@@ -204,7 +204,7 @@ def read_shard(data: bytes) -> Iterator[tuple[int | None, np.ndarray]]:
         raise ValueError("the shard's documents and ids don't match")
 
 
-def write_token_shards(docs: DataFrame, folder: str, *, tokenizer_path: str | None = None, end_id: int = 1, lanes: int = 1024, block_tokens: int = 1 << 18, segment_tokens: int = 1 << 21, checkpoint_steps: int = 128, shard_tokens: int = 1 << 25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_token_shards(docs: DataFrame, folder: str, *, tokenizer_path: str | None = None, end_id: int = 1, lanes: int = 2048, block_tokens: int = 1 << 19, segment_tokens: int = 1 << 21, checkpoint_steps: int = 128, shard_tokens: int = 1 << 25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the shards and returns the manifest: path, part, piece, n_docs, n_tokens, start (tokens before the shard).
 
     A partition with over shard_tokens ids gives several shards; at most a segment's ids and a shard's bytes are held.

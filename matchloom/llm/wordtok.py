@@ -54,7 +54,7 @@ class WordEncoder:
     """ids of many texts. most_words bounds the table; when it is full, the half that was learned last goes, as the
     words met first are the frequent ones."""
 
-    def __init__(self, path: str, most_words: int = 200_000):
+    def __init__(self, path: str, most_words: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
