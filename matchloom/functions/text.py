@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 #: Whole-word rules in the order in which they apply; a trailing full stop goes with the word where one may stand.
 LEGAL_RULES = (
     (r"\bprivate limited\b", "pvt ltd"),
-    (r"\bpvt\.? ltd\.?\b", "pvt ltd"),
+    (r"\bpvt\.?\s*ltd\.?\b", "pvt ltd"),
     (r"\blimited\b", "ltd"),
     (r"\bltd\.?\b", "ltd"),
     (r"\bcorporation\b", "corp"),
@@ -31,7 +31,7 @@ ADDRESS_RULES = (
     (r"\bblvd\.?\b", "boulevard"),
     (r"\bste\.?\b", "suite"),
     (r"\bapt\.?\b", "apartment"),
-    (r"\b(?:fl|flr)\.?\b", "floor"),
+    (r"\bflr?\.?\b", "floor"),
     (r"\b2nd\b", "second"),
     (r"\b1st\b", "first"),
     (r"\b3rd\b", "third"),
@@ -42,23 +42,57 @@ LEXICAL_RULES = (("private limited", "pvt ltd"), ("privatelimited", "pvt ltd"),
 NULL_WORDS = ("nan", "none", "null")
 
 
-def _accent_table() -> tuple[str, str]:
-    """Letters of the Latin blocks that Unicode takes apart into one letter and marks, and those letters."""
-    marked, plain = [], []
-    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+#: Latin letters that are no letter with a mark, and letters of scripts whose names don't say their sound.
+LATIN = dict(zip("ßẞæÆœŒþÞðÐøØłŁđĐħĦıŋŊŧŦ", "ss SS ae AE oe OE th Th d D o O l L d D h H i ng NG t T".split(), strict=True))
+GREEK = dict(zip("αβγδεζηθικλμνξοπρσςτυφχψω", "a b g d e z e th i k l m n x o p r s s t u ph kh ps o".split(), strict=True))
+CYRILLIC = dict(zip("абвгдеёжзийклмнопрстуфхцчшщыэюяіїєґђјљњћџ", "a b v g d e e zh z i i k l m n o p r s t u f kh ts ch sh shch y e iu ia i i ie g dj j lj nj c dzh".split(), strict=True)) | {"ъ": "", "ь": ""}
+
+
+def _letters() -> dict[str, str]:
+    """What stands for a letter in ASCII. Marks go; letters of Indic scripts are as their Unicode names say, consonants without
+    the vowel that the names end in; digits of any script are digits."""
+    out = dict(LATIN)
+    for table in (GREEK, CYRILLIC):
+        out |= table | {c.upper(): x.capitalize() for c, x in table.items() if c != "ς"}
+    for code in range(0x900, 0xD80):
+        words = unicodedata.name(chr(code), "").split(" ")
+        if (digit := unicodedata.digit(chr(code), None)) is not None:
+            out[chr(code)] = str(digit)
+        elif words[1:2] == ["LETTER"] and len(words) == 3 or words[1:3] == ["VOWEL", "SIGN"] and len(words) == 4:
+            sound = words[-1].lower()
+            vowel = "VOWEL" in words or all(c in "aeiou" for c in sound)
+            out[chr(code)] = sound if vowel else sound[:-1] if sound.endswith("a") else sound
+        elif "ANUSVARA" in words:
+            out[chr(code)] = "m"
+        elif "VISARGA" in words:
+            out[chr(code)] = "h"
+        elif unicodedata.category(chr(code)) in ("Mn", "Mc"):
+            out[chr(code)] = ""
+    for code in (*range(0xC0, 0x530), *range(0x1E00, 0x2000), *range(0x900, 0xD80)):
         parts = [c for c in unicodedata.normalize("NFD", chr(code)) if unicodedata.category(c) != "Mn"]
-        if len(parts) == 1 and parts[0] != chr(code):
-            marked.append(chr(code))
-            plain.append(parts[0])
-    return "".join(marked), "".join(plain)
+        if chr(code) not in out and parts and parts[0] != chr(code):
+            out[chr(code)] = "".join(out.get(c, c) for c in parts)
+    return {c: x for c, x in out.items() if x.isascii()} | {chr(c): "" for c in range(0x300, 0x370)}
 
 
-_MARKED, _PLAIN = _accent_table()
+_LETTERS = _letters()
+#: Letters that one letter stands for, then those that go, and that letter for each of the first.
+ONE_FROM = "".join(sorted((c for c, x in _LETTERS.items() if len(x) < 2), key=lambda c: (-len(_LETTERS[c]), c)))
+ONE_TO = "".join(_LETTERS[c] for c in ONE_FROM)
+#: (character class, letters) of those that several letters stand for.
+SEVERAL = tuple((f"[{''.join(c for c in sorted(_LETTERS) if _LETTERS[c] == x)}]", x) for x in sorted({x for x in _LETTERS.values() if len(x) > 1}))
 
 
 def fold(c: Column) -> Column:
-    """Latin letters without their marks; sharp s as ss. Other scripts stay."""
-    return F.regexp_replace(F.replace(F.translate(c, _MARKED, _PLAIN), F.lit("ß"), F.lit("ss")), r"\p{Mn}+", "")
+    """Letters as ASCII: without marks, and those of other alphabets by sound. What has no letters (ideographs, signs) stays.
+
+    One translation does what one letter stands for; only strings that still aren't ASCII see the rules with several.
+    """
+    text = F.translate(c, ONE_FROM, ONE_TO)
+    more = text
+    for letters, to in SEVERAL:
+        more = F.regexp_replace(more, letters, to)
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.regexp_replace(more, r"\p{Mn}+", "")).otherwise(text)
 
 
 def ascii_only(c: Column) -> Column:
@@ -157,8 +191,13 @@ def labelled_text(name: Column, address: Column, city: Column, postal: Column, c
 
 
 def encoder_text(prefix: str, *fields: Column) -> Column:
-    """'query: a | b | ...' of normalised fields, for encoders that tell queries from passages."""
-    return F.concat(F.lit(f"{prefix}: "), F.concat_ws(" | ", *(F.coalesce(f, F.lit("")) for f in fields)))
+    """'query: a [SEP] b [SEP] ...' of normalised fields, for encoders that tell queries from passages."""
+    return F.concat(F.lit(f"{prefix}: "), F.concat_ws(" [SEP] ", *(F.coalesce(f, F.lit("")) for f in fields)))
+
+
+def encoder_record(prefix: str) -> Column:
+    """encoder_text of an enriched record: name, address, country, skeleton, house and pin."""
+    return encoder_text(prefix, *map(F.col, ("name_n", "addr_n", "country_n", "skeleton", "house", "pin")))
 
 
 def id_list(c: Column) -> Column:

@@ -22,9 +22,20 @@ def frequencies(tokens: DataFrame) -> DataFrame:
 
 
 def capped(tokens: DataFrame, cap: int) -> DataFrame:
-    """Rows whose (country, token) at most `cap` records have. The count is a window's partial result joined back, so a hot
-    token costs one counter row per task and is gone before any pair is made."""
-    return tokens.join(frequencies(tokens).where(F.col("df") <= cap), ["country", "token"])
+    """Rows whose (country, token) at most `cap` records have. A task sends at most cap + 1 rows of a token on (Catalyst limits
+    each task's groups before the shuffle), so a token that all records have is a few rows per task where it is dropped."""
+    key = Window.partitionBy("country", "token")
+    few = tokens.withColumn("__n", F.row_number().over(key.orderBy("id"))).where(F.col("__n") <= cap + 1)
+    return few.withColumn("__n", F.max("__n").over(key)).where(F.col("__n") <= cap).drop("__n")
+
+
+def without_hot(queries: DataFrame, pool: DataFrame, cap: int, most: int = 100_000) -> DataFrame:
+    """queries without tokens that surely find nothing: those that over `cap` pool records have, and over 1 in `most` of all
+    its rows. There are under `most` such tokens whatever the pool's size, so they are broadcast."""
+    counts = frequencies(pool)
+    total = counts.agg(F.sum("df").alias("total"))  # one row
+    hot = counts.crossJoin(F.broadcast(total)).where((F.col("df") > cap) & (F.col("df") * most > F.col("total"))).select("country", "token")
+    return queries.join(F.broadcast(hot), ["country", "token"], "left_anti")
 
 
 def block_pairs(queries: DataFrame, pool: DataFrame, cap: int) -> DataFrame:
@@ -33,18 +44,19 @@ def block_pairs(queries: DataFrame, pool: DataFrame, cap: int) -> DataFrame:
     queries and pool are (country, token, id). A token's pairs are at most cap times the queries that have it.
     """
     rare = capped(pool, cap).select("country", "token", F.col("id").alias("candidate"))
-    pairs = queries.select("country", "token", F.col("id").alias("query")).join(rare, ["country", "token"])
+    pairs = without_hot(queries, pool, cap).select("country", "token", F.col("id").alias("query")).join(rare, ["country", "token"])
     return pairs.groupBy("query", "candidate").agg(F.count("*").alias("shared"))
 
 
 def prefix_fallback(queries: DataFrame, pool: DataFrame, hit: DataFrame, cap: int, length: int = 5) -> DataFrame:
-    """(query, candidate) by country and name prefix for queries (id, country, name) without any pair in `hit`; buckets of
-    over 4 * cap pool records give none."""
-    key = lambda df, name: df.where(F.length("name") >= length).select("country", F.substring("name", 1, length).alias("token"), F.col("id").alias(name))
+    """(query, candidate) by country and the name's first `length` characters (a shorter name: the whole) for queries (id,
+    country, name) without any pair in `hit`; buckets of over 4 * cap pool records give none."""
+    key = lambda df: df.select("country", F.substring("name", 1, length).alias("token"), "id")
     alone = queries.join(hit.select(F.col("query").alias("id")).distinct(), "id", "left_anti")
-    bucket = key(pool, "id")
+    bucket = key(pool)
+    asked = without_hot(key(alone), bucket, 4 * cap).withColumnRenamed("id", "query")
     bucket = capped(bucket, 4 * cap).select("country", "token", F.col("id").alias("candidate"))
-    return key(alone, "query").join(bucket, ["country", "token"]).select("query", "candidate").distinct()
+    return asked.join(bucket, ["country", "token"]).select("query", "candidate").distinct()
 
 
 def compatible(left: Column, right: Column) -> Column:
@@ -59,51 +71,59 @@ def top_k(pairs: DataFrame, k: int, *order: Column) -> DataFrame:
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def nearest(queries: DataFrame, pool: DataFrame, k: int, partition: str | None = None) -> DataFrame:
-    """(query, candidate, sim, rank): exact top k by cosine; within a partition key if one is given.
-
-    The plain form: an equi-join on the key and a native dot product, for partitions of modest size. Both are (id, vector[,
-    key]). Norms are computed once per vector.
-    """
-    side = lambda df, name: df.select(F.col("id").alias(name), F.col("vector").alias(f"{name}_vector"), S.norm(F.col("vector")).alias(f"{name}_norm"), *([F.col(partition)] if partition else [F.lit(0).alias("whole")]))
-    key = partition or "whole"
-    pairs = side(queries, "query").join(side(pool, "candidate"), key).where("query <> candidate")
-    size = F.col("query_norm") * F.col("candidate_norm")
-    sim = F.when(size > 0, S.dot(F.col("query_vector"), F.col("candidate_vector")) / size).otherwise(0.0)
-    return top_k(pairs.select("query", "candidate", F.round(sim, 6).alias("sim")), k, F.desc("sim"), F.asc("candidate"))
+def _best(sim: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of each row's k best; of equal ones those with the least order. Only what reaches the k-th value is sorted."""
+    if sim.shape[1] > k:
+        least = np.partition(sim, sim.shape[1] - k, axis=1)[:, sim.shape[1] - k]
+        rows, columns = np.nonzero(sim >= least[:, None])
+    else:
+        rows, columns = (x.ravel() for x in np.indices(sim.shape))
+    by = np.lexsort((order[columns], -sim[rows, columns], rows))
+    rows, columns = rows[by], columns[by]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    keep = (place < k) & np.isfinite(sim[rows, columns])
+    return rows[keep], columns[keep]
 
 
-def nearest_blocked(queries: DataFrame, pool: DataFrame, k: int, partition: str | None = None, query_blocks: int = 8, pool_blocks: int = 8) -> DataFrame:
-    """The same result for large pools: query blocks meet pool blocks, each meeting is one matrix product that keeps k
-    candidates per query, and the blocks' candidates are merged by a window.
+def nearest_blocked(queries: DataFrame, pool: DataFrame, k: int, partition: str | None = None, block_rows: int = 4096) -> DataFrame:
+    """(query, candidate, sim, rank): exact top k by cosine, within a partition key if one is given. Both are (id, vector[,
+    key]), with ids of any one type.
 
-    A record is sent once per block of the other side, so query_blocks * pool_blocks is the parallelism and the blocks'
-    size the memory of a task.
+    Query blocks meet pool blocks: each meeting is one matrix product that keeps k candidates per query, and the blocks'
+    candidates are merged by a window. Sides are counted first, and cut so that a block has about block_rows rows (and a pool
+    block is ever larger, so that a query is sent to at most 64 of them).
     """
     country = F.col(partition).cast("string") if partition else F.lit("")
-    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
+    cut = lambda df, rows: max(1, -(-df.count() // rows))
+    pool_blocks = cut(pool, block_rows)
+    pool_blocks = min(pool_blocks, 64 + pool_blocks // 16)
+    query_blocks = cut(queries, block_rows)
+    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     q = queries.select("id", "vector", country.alias("country"), block(query_blocks).alias("qb")).withColumn("pb", every(pool_blocks))
     p = pool.select("id", "vector", country.alias("country"), block(pool_blocks).alias("pb")).withColumn("qb", every(query_blocks))
     keys = ["country", "qb", "pb"]
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query": [], "candidate": [], "sim": []}).astype({"query": "int64", "candidate": "int64", "sim": "float64"})
         if left.empty or right.empty:
-            return empty
+            return pd.DataFrame({"query": left["id"].iloc[:0], "candidate": right["id"].iloc[:0], "sim": pd.Series([], dtype="float64")})
         a, b = (np.vstack([np.asarray(v, np.float64) for v in df["vector"]]) for df in (left, right))
         na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
-        size = na[:, None] * nb[None, :]
-        sim = np.divide(a @ b.T, size, out=np.zeros_like(size), where=size > 0).round(6)
         qi, ci = left["id"].to_numpy(), right["id"].to_numpy()
-        sim[qi[:, None] == ci[None, :]] = -np.inf
-        order = np.lexsort((np.broadcast_to(ci, sim.shape), -sim), axis=1)[:, :k]
-        rows = np.repeat(np.arange(len(qi)), order.shape[1])
-        flat = order.ravel()
-        keep = np.isfinite(sim[rows, flat])
-        return pd.DataFrame({"query": qi[rows][keep], "candidate": ci[flat][keep], "sim": sim[rows, flat][keep]})
-
-    found = q.groupBy(*keys).cogroup(p.groupBy(*keys)).applyInPandas(meet, "query long, candidate long, sim double")
+        names, order = np.unique(ci, return_inverse=True)
+        own = np.minimum(np.searchsorted(names, qi), len(names) - 1)
+        own = np.where(names[own] == qi, own, -1)
+        out = []
+        for i in range(0, len(qi), 512):  # so many rows of the product at a time
+            size = na[i : i + 512, None] * nb[None, :]
+            sim = np.divide(a[i : i + 512] @ b.T, size, out=np.zeros_like(size), where=size > 0).round(6)
+            sim[own[i : i + 512, None] == order[None, :]] = -np.inf
+            rows, columns = _best(sim, order, k)
+            out.append(pd.DataFrame({"query": qi[rows + i], "candidate": ci[columns], "sim": sim[rows, columns]}))
+        return pd.concat(out)
+
+    kind = q.schema["id"].dataType.simpleString()
+    found = q.groupBy(*keys).cogroup(p.groupBy(*keys)).applyInPandas(meet, f"query {kind}, candidate {kind}, sim double")
     return top_k(found, k, F.desc("sim"), F.asc("candidate"))
 
 

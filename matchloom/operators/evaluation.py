@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchloom.operators import ranking
+
 
 def label_pairs(pairs: DataFrame, truth: DataFrame) -> DataFrame:
     """pairs with label 1 where (query, candidate) is in truth, else 0."""
@@ -41,6 +43,11 @@ def macro_f_beta(queries: DataFrame, predicted: DataFrame, truth: DataFrame, bet
     return scored.agg(F.round(F.avg("f"), 6).alias("macro_f"), F.count("*").alias("n_queries"))
 
 
+def ownership_f_beta(queries: DataFrame, scored: DataFrame, truth: DataFrame, threshold: float, beta: float = 0.5) -> DataFrame:
+    """macro_f_beta of what the queries own at the threshold: ownership is settled before anything is counted."""
+    return macro_f_beta(queries, ranking.decide_ownership(scored, threshold), truth, beta)
+
+
 def sweep(scored: DataFrame, true_counts: DataFrame, thresholds: list[float], beta: float = 0.5) -> DataFrame:
     """threshold, macro_f for each threshold. scored: query, prob, label; true_counts: query, n_true for every query.
 

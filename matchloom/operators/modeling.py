@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -59,6 +62,36 @@ def fit_reranker(df: DataFrame, columns: list[str], label: str = "label", *, ite
     return Reranker(Pipeline(stages=stages).fit(df))
 
 
+def scored_pairs(pairs: DataFrame, scorer: Callable[[list[str], list[str]], list[float]], batch: int = 64) -> DataFrame:
+    """pairs (query, candidate, left, right) with prob by a plugged scorer of text pairs, such as a cross-encoder.
+
+    A task scores batches of pairs of like length (shortest first), so padding is small. Where the scorer runs out of memory
+    the batch is halved; a pair that can't be scored alone gets 0.
+    """
+    kept = [(f.name, f.dataType.simpleString()) for f in pairs.schema.fields if f.name != "prob"]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            left, right = pdf["left"].fillna("").tolist(), pdf["right"].fillna("").tolist()
+            order = sorted(range(len(pdf)), key=lambda k: len(left[k]) + len(right[k]))
+            prob, at, size = [0.0] * len(pdf), 0, batch
+            while at < len(order):
+                some = order[at : at + size]
+                try:
+                    found = scorer([left[k] for k in some], [right[k] for k in some])
+                except MemoryError:
+                    if size > 1:
+                        size //= 2
+                        continue
+                    found = [0.0]
+                for k, x in zip(some, found, strict=True):
+                    prob[k] = float(x)
+                at += len(some)
+            yield pdf.assign(prob=prob)
+
+    return pairs.select(*(n for n, _ in kept)).mapInPandas(run, ", ".join(f"`{n}` {t}" for n, t in [*kept, ("prob", "double")]))
+
+
 def out_of_fold(df: DataFrame, columns: list[str], fold: str, folds: int, **options) -> DataFrame:
     """df with prob by models that have not seen the row's fold: what a second stage may train on."""
     out = None
@@ -68,9 +101,12 @@ def out_of_fold(df: DataFrame, columns: list[str], fold: str, folds: int, **opti
     return out
 
 
-def fit_calibration(df: DataFrame, prob: str = "prob", label: str = "label") -> IsotonicRegressionModel:
-    rows = df.select(F.col(label).cast("double").alias("label"), F.col(prob).alias("features"))
-    return IsotonicRegression(labelCol="label", featuresCol="features", isotonic=True).fit(rows)
+def fit_calibration(df: DataFrame, prob: str = "prob", label: str = "label", bins: int = 100_000) -> IsotonicRegressionModel:
+    """Scores are rounded to 1 in `bins` and pooled with their weights before the fit, which runs in one task: that task sees
+    at most bins + 1 rows."""
+    score = F.round(F.col(prob) * bins) / bins
+    rows = df.groupBy(score.alias("features")).agg(F.avg(F.col(label).cast("double")).alias("label"), F.count("*").cast("double").alias("weight"))
+    return IsotonicRegression(labelCol="label", featuresCol="features", weightCol="weight", isotonic=True).fit(rows)
 
 
 def calibrated(model: IsotonicRegressionModel, df: DataFrame, prob: str = "prob") -> DataFrame:

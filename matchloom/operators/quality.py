@@ -87,3 +87,10 @@ def size_histogram(lists: DataFrame, top: int = 10) -> DataFrame:
 def examples(df: DataFrame, column: str, n: int = 5) -> list:
     """The first n distinct values in order: what a report shows of an issue."""
     return [r[0] for r in df.select(column).distinct().orderBy(column).limit(n).collect()]
+
+
+def write_profile(df: DataFrame, columns: list[str], path: str) -> None:
+    """The profile as CSV with a header, and each row as JSON: path/csv and path/json."""
+    rows = profile(df, columns)
+    rows.write.mode("overwrite").option("header", True).csv(f"{path}/csv")
+    rows.write.mode("overwrite").json(f"{path}/json")

@@ -37,9 +37,10 @@ def decide_threshold(pairs: DataFrame, threshold: float, prob: str = "prob") ->
 def decide_ownership(pairs: DataFrame, threshold: float, prob: str = "prob") -> DataFrame:
     """At or above the threshold, and each candidate with its likeliest query only (ties: the smaller query).
 
-    max_by takes partial results before the shuffle, so a candidate that many queries want is one row per task.
+    min_by takes partial results before the shuffle, so a candidate that many queries want is one row per task. Ids may be of
+    any type that has an order.
     """
-    best = F.max_by(F.struct("query", prob), F.struct(F.col(prob), -F.col("query")))
+    best = F.min_by(F.struct("query", prob), F.struct(-F.col(prob), F.col("query")))
     kept = decide_threshold(pairs, threshold, prob).groupBy("candidate").agg(best.alias("owner"))
     return kept.select(F.col("owner.query").alias("query"), "candidate", F.col(f"owner.{prob}").alias(prob))
 

@@ -6,6 +6,7 @@ from matchloom.functions.text import ADDRESS_RULES, LEGAL_RULES, LEXICAL_RULES
 
 
 def _ascii(c: str) -> str:
+    """The tables of documents and parts have Latin letters only, for which marks and the sharp s are all there is."""
     return rf"regexp_replace(replace(strip_accents({c}), 'ß', 'ss'), '[^\x00-\x7F]', ' ', 'g')"
 
 
@@ -52,7 +53,8 @@ def _knn(same: str) -> str:
 
 
 _G = _knn("AND a.label = b.label")
-_NAMES = "n AS (SELECT DISTINCT p_name FROM part), p AS (SELECT x.p_name AS a, y.p_name AS b FROM n x, n y)"
+_NAMES = """n AS (SELECT DISTINCT p_name FROM part), nk AS (SELECT DISTINCT p_name, unnest(list_append(string_split(p_name, ' '), '^' || p_name[1:1])) AS t FROM n),
+ p AS (SELECT DISTINCT x.p_name AS a, y.p_name AS b FROM nk x JOIN nk y USING (t) JOIN (SELECT t FROM nk GROUP BY 1 HAVING count(*) <= 64) USING (t))"""
 _SETS = "list_distinct({0}) AS x, list_distinct({1}) AS y"
 _JACCARD = "CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0.0 ELSE len(list_intersect(x, y))::DOUBLE / len(list_distinct(list_concat(x, y))) END"
 
@@ -75,7 +77,7 @@ _SWEEP = f"""{_SCORED}, g AS (SELECT round(0.05 + i * 0.01, 2) AS threshold FROM
  w AS (SELECT threshold::DOUBLE AS threshold, round(avg({_F}), 6) AS macro_f FROM m GROUP BY 1)"""
 _PAIRS = "o AS MATERIALIZED (SELECT query, candidate, (query * 31 + candidate * 17) % 101 / 100.0::DOUBLE AS prob FROM (SELECT DISTINCT o_custkey AS query, l_partkey AS candidate FROM orders JOIN lineitem ON o_orderkey = l_orderkey))"
 _OWN = f"{_PAIRS}, w AS (SELECT * FROM o WHERE prob >= 0.8 QUALIFY row_number() OVER (PARTITION BY candidate ORDER BY prob DESC, query) = 1)"
-_ORDER = "(({0} * 48271 + 42 * 69621) % 2147483647)"
+_ORDER = "('0x' || substr(md5('42:' || {0}), 1, 15))::BIGINT"
 _LISTS = """l AS (SELECT c_custkey AS query, coalesce(m, []) AS members FROM customer LEFT JOIN (SELECT o_custkey,
  list(CASE WHEN o_orderkey % 2 = 0 THEN 'S2-' ELSE 'S3-' END || o_orderkey) AS m FROM orders GROUP BY 1) ON c_custkey = o_custkey)"""
 _MARKS = """l AS (SELECT o_orderkey AS row_no, 'S1-' || (o_orderkey - o_orderkey % 2) AS id,
@@ -102,7 +104,7 @@ ORACLE_SQL = {
         {_HOUSE.format('clean')} AS house, {_STATE.format('clean')} AS state FROM r""",
     "record_text": f"""SELECT p_partkey, '[' || upper(trim(p_brand)) || '] ' || {_clean_text('p_name')} || ' | ' || {_clean_text('p_type')} AS entity,
         'Name: ' || trim(p_name) || ' | Address: ' || trim(p_type) || ', ' || trim(p_brand) AS labelled,
-        'query: ' || {_clean('p_name')} || ' | ' || {_clean('p_type')} AS encoder FROM part""",
+        'query: ' || {_clean('p_name')} || ' [SEP] ' || {_clean('p_type')} || ' [SEP] ' || {_clean('p_brand')} || ' [SEP] ' || substr(translate({_clean('p_name')}, ' aeiou', ''), 1, 32) || ' [SEP]  [SEP] ' AS encoder FROM part""",
     "null_token_clean": f"""WITH s AS (SELECT doc_id, source, {_STRANGE} AS v FROM documents)
         SELECT doc_id, {_NO_NULL.format('v')} AS value, CASE WHEN lower(coalesce(v, '')) = 'nan' THEN '' ELSE coalesce(v, '') END AS raw,
         coalesce(nullif({_NO_NULL.format('v')}, ''), nullif({_NO_NULL.format('source')}, ''), '') AS filled FROM s""",
@@ -111,7 +113,7 @@ ORACLE_SQL = {
     "block_token": f"WITH {_B} SELECT * FROM b",
     "block_house": f"""WITH {_RECORDS}, h AS (SELECT id, country, {_HOUSE.format('name')} AS token FROM r), few AS (SELECT country, token FROM h WHERE id % 3 <> 0 AND token <> '' GROUP BY ALL HAVING count(*) <= 40)
         SELECT q.id AS query, p.id AS candidate FROM h q JOIN few USING (country, token) JOIN h p USING (country, token) WHERE q.id % 3 = 0 AND p.id % 3 <> 0""",
-    "block_prefix_fallback": f"""WITH {_blocked(2)}, x AS (SELECT id, country, name[1:5] AS token FROM r WHERE length(name) >= 5),
+    "block_prefix_fallback": f"""WITH {_blocked(2)}, x AS (SELECT id, country, name[1:5] AS token FROM r),
         few AS (SELECT country, token FROM x WHERE id % 3 <> 0 GROUP BY ALL HAVING count(*) <= 160)
         SELECT DISTINCT q.id AS query, p.id AS candidate FROM x q JOIN few USING (country, token) JOIN x p USING (country, token)
         WHERE q.id % 3 = 0 AND p.id % 3 <> 0 AND q.id NOT IN (SELECT query FROM b)""",
@@ -164,7 +166,7 @@ ORACLE_SQL = {
     "embedding_cache_join": "SELECT doc_id, sha256(text) AS content FROM documents WHERE doc_id % 4 = 0 OR (doc_id % 6 = 1 AND text <> 'old')",
     "train_positives": f"WITH {_RECORDS}, {_TRUTH} SELECT DISTINCT query, candidate FROM t",
     "train_triplets": f"""WITH {_B}, z AS (SELECT id, country, row_number() OVER (PARTITION BY country ORDER BY {_ORDER.format('id')}, id) - 1 AS place, count(*) OVER (PARTITION BY country) AS size FROM r WHERE id % 3 <> 0),
-        e AS (SELECT query, candidate, country, place AS own, (query * 31 + candidate * 17 + 42) % (size - 1) AS pick FROM b JOIN z ON z.id = candidate WHERE size > 1)
+        e AS (SELECT query, candidate, country, place AS own, {_ORDER.format("query || ':' || candidate")} % (size - 1) AS pick FROM b JOIN z ON z.id = candidate WHERE size > 1)
         SELECT query, candidate, z.id AS negative FROM e JOIN z ON z.country = e.country AND z.place = CASE WHEN pick >= own THEN pick + 1 ELSE pick END""",
     "holdout_split": f"SELECT doc_id, CASE WHEN {_ORDER.format('doc_id')} % 100 < 20 THEN 'holdout' ELSE 'train' END AS split FROM documents",
     "sample_rows": f"SELECT o_orderkey FROM orders ORDER BY {_ORDER.format('o_orderkey')}, o_orderkey LIMIT 250",
@@ -173,8 +175,41 @@ ORACLE_SQL = {
         SELECT candidate AS id FROM t WHERE query IN (SELECT id FROM q) UNION (SELECT id FROM r WHERE id % 3 <> 0 ORDER BY id LIMIT 100)""",
     "row_numbers": "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS position FROM orders",
     "stream_ownership": "WITH p AS (SELECT user_id AS query, event_id % 97 AS candidate, event_id * 31 % 101 / 100.0::DOUBLE AS prob FROM events) SELECT candidate, query, prob FROM p WHERE prob >= 0.3 QUALIFY row_number() OVER (PARTITION BY candidate ORDER BY prob DESC, query) = 1",
-    "tsv_round_trip": f"""WITH d AS (SELECT 'S1-' || p_partkey AS entity_id, '"' || p_name AS business_name, p_size || ' ' || p_type AS a, CASE WHEN p_partkey % 5 = 0 THEN 'US' ELSE upper(p_brand) END AS country_n FROM part),
+    "tsv_round_trip": f"""WITH d AS (SELECT 'S1-' || p_partkey AS entity_id, '"' || p_name AS business_name, p_size || ' ' || p_type AS a, CASE WHEN p_partkey % 5 = 0 THEN 'US' ELSE {_clean('p_brand')} END AS country_n FROM part),
         e AS (SELECT *, {_clean('business_name')} AS name_n, {_clean('a')} AS addr_n FROM d)
         SELECT entity_id, business_name, country_n, name_n, substr(translate(name_n, ' aeiou', ''), 1, 32) AS skeleton, {_HOUSE.format('addr_n')} AS house, {_STATE.format('addr_n')} AS state FROM e""",
     "list_file_round_trip": f"WITH {_OWN}, l AS (SELECT query, count(*) AS n FROM w GROUP BY 1) SELECT c_custkey AS query, coalesce(n, 0) AS n FROM customer LEFT JOIN l ON query = c_custkey",
+    "decide_ownership_ids": f"WITH {_PAIRS}, s AS (SELECT 'S1-' || query AS query, 'S2-' || candidate AS candidate, prob FROM o WHERE prob >= 0.8) SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY candidate ORDER BY prob DESC, query) = 1",
+    "holdout_split_ids": "SELECT 'S1-' || doc_id AS doc_id, CASE WHEN ('0x' || substr(md5('42:S1-' || doc_id), 1, 15))::BIGINT % 100 < 20 THEN 'holdout' ELSE 'train' END AS split FROM documents",
+    "train_triplets_ids": f"""WITH {_RECORDS}, {_TRUTH}, z0 AS (SELECT 'S2-' || id AS id, country FROM r WHERE id % 3 <> 0),
+        z AS (SELECT id, country, row_number() OVER (PARTITION BY country ORDER BY {_ORDER.format('id')}, id) - 1 AS place, count(*) OVER (PARTITION BY country) AS size FROM z0),
+        b AS (SELECT DISTINCT 'S1-' || query AS query, 'S2-' || candidate AS candidate FROM t),
+        e AS (SELECT query, candidate, country, size, place AS own, {_ORDER.format("query || ':' || candidate")} AS h FROM b JOIN z ON z.id = candidate),
+        w AS (SELECT query, candidate, country, h % (size - 1) + CASE WHEN h % (size - 1) >= own THEN 1 ELSE 0 END AS place FROM e WHERE size > 1
+              UNION ALL SELECT query, candidate, 'en', h % (SELECT count(*) FROM z WHERE country = 'en') FROM e WHERE size = 1 AND country <> 'en')
+        SELECT query, candidate, z.id AS negative FROM w JOIN z USING (country, place)""",
+    "knn_partitioned_ids": f"""WITH {_V}, s AS (SELECT 'S2-' || a.id AS query, 'S2-' || b.id AS candidate, round(list_inner_product(a.x, b.x) / (a.n * b.n), 6) AS sim FROM v a JOIN v b ON a.id <> b.id AND a.label = b.label)
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, candidate)::INT AS rank FROM s) WHERE rank <= 10""",
+    "stream_ownership_ids": "WITH p AS (SELECT 'S1-' || user_id AS query, 'S3-' || event_id % 97 AS candidate, event_id * 31 % 101 / 100.0::DOUBLE AS prob FROM events) SELECT candidate, query, prob FROM p WHERE prob >= 0.3 QUALIFY row_number() OVER (PARTITION BY candidate ORDER BY prob DESC, query) = 1",
+    "transliterated_names": """WITH n AS (SELECT p_partkey, ['aeroskobing lodz', 'moskva shchuka', 'nmste', 'ellada', 'tmilll', 'dorde pvtltd', 'strasse 2 nd fl', 'ltd'][p_partkey % 8 + 1] AS x,
+        ['aeroskobing lodz', 'moskva shchuka', 'nmste', 'ellada', 'tmilll', 'dorde pvt ltd', 'strasse second floor', 'ltd'][p_partkey % 8 + 1] AS y FROM part)
+        SELECT p_partkey, x || ' ' || p_partkey AS lexical, y || ' ' || p_partkey AS rules FROM n""",
+    "short_names": """WITH n AS (SELECT p_partkey AS id, 'aei' || CASE WHEN p_brand[7:7] > '2' THEN p_brand[7:7] || 'bm ltd' ELSE '' END AS name FROM part)
+        SELECT q.id AS query, p.id AS candidate, (replace(translate(q.name, 'aeiou', ''), ' ', '') = replace(translate(p.name, 'aeiou', ''), ' ', ''))::INT AS skeleton, 0 AS pin, 0 AS house
+        FROM n q JOIN n p ON q.name[1:5] = p.name[1:5] WHERE q.id % 20 = 0 AND p.id % 20 BETWEEN 1 AND 2""",
+    "nonblank_text": "SELECT doc_id, source AS text FROM documents WHERE doc_id % 9 <> 0 AND doc_id % 10 <> 0 AND trim(source) <> ''",
+    "pair_cap": f"WITH {_PAIRS} SELECT query, candidate FROM o ORDER BY query, candidate LIMIT 200",
+    "positive_cap": f"WITH {_PAIRS} SELECT query, candidate FROM o WHERE prob >= 0.5 ORDER BY {_ORDER.format("query || ':' || candidate")}, query, candidate LIMIT 300",
+    "ownership_f05": f"""WITH {_PAIRS}, w AS (SELECT * FROM o WHERE prob >= 0.6 QUALIFY row_number() OVER (PARTITION BY candidate ORDER BY prob DESC, query) = 1),
+        m AS (SELECT c_custkey AS query, (SELECT count(*) FROM o WHERE o.query = c_custkey AND o.query % 3 = o.candidate % 3) AS n_true, (SELECT count(*)::DOUBLE FROM w WHERE w.query = c_custkey) AS np,
+              (SELECT count(*)::DOUBLE FROM w WHERE w.query = c_custkey AND w.query % 3 = w.candidate % 3) AS tp FROM customer)
+        SELECT round(avg({_F}), 6) AS macro_f, count(*) AS n_queries FROM m""",
+    "dummy_subset_test": f"""WITH {_RECORDS}, {_TRUTH}, q AS (SELECT id FROM r WHERE id % 3 = 0 ORDER BY id LIMIT 20 OFFSET 50)
+        SELECT candidate AS id FROM t WHERE query IN (SELECT id FROM q) UNION (SELECT id FROM r WHERE id % 3 <> 0 ORDER BY id LIMIT 50 OFFSET 100)""",
+    "file_rules": "SELECT 'comma_header' AS rule, 1::BIGINT AS n UNION ALL SELECT 'row_without_tab', count(*) FROM orders WHERE o_orderkey % 10 = 0",
+    "embedding_cache_append": "SELECT doc_id, (1 + (doc_id % 4 <> 0 AND doc_id % 6 = 1 AND text <> 'new')::INT)::BIGINT AS versions, 16::INT AS dim FROM documents",
+    "audit_output": """SELECT 'c_custkey' AS "column", count(*) AS n_rows, count(*) FILTER (c_custkey IS NULL) AS n_blank, count(*) AS json_rows FROM customer
+        UNION ALL SELECT 'c_name', count(*), count(*) FILTER (trim(coalesce(c_name, '')) = ''), count(*) FROM customer
+        UNION ALL SELECT 'c_mktsegment', count(*), count(*) FILTER (trim(coalesce(c_mktsegment, '')) = ''), count(*) FROM customer""",
+    "pair_scorer": f"WITH {_NAMES}, q AS (SELECT a, b, {_SETS.format(_words('a'), _words('b'))} FROM p) SELECT a AS query, b AS candidate, round({_JACCARD}, 6) AS prob FROM q",
 }

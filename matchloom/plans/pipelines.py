@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from matchloom.functions import similarity as S
 from matchloom.functions import text as T
 from matchloom.operators import blocking, cache, evaluation, features, modeling, ranking, training
+from matchloom.sources import scratch
 
 
 @dataclass
@@ -84,7 +85,12 @@ def rerank(candidates: DataFrame, queries: DataFrame, pool: DataFrame, truth: Da
     rows = features.features_11(features.with_fields(candidates.select("query", "candidate"), fields(queries), fields(pool))).drop("stage1", "rank", "gap", "support")
     columns = [c for c in rows.columns if c not in ("query", "candidate")]
     rows = training.holdout(evaluation.label_pairs(rows, truth), "query", s.holdout_percent, s.seed)
-    rows = rows.withColumn("fold", F.pmod(training.mixed_order("query", s.seed + 1), F.lit(s.folds)).cast("int")).persist()
+    # written, as each of the models and the final scoring reads these rows
+    spark = rows.sparkSession
+    path = scratch.folder(spark, "features")
+    rows = rows.withColumn("fold", (training.mixed_order("query", s.seed + 1) % s.folds).cast("int"))
+    rows.write.parquet(path)
+    rows = spark.read.schema(rows.schema).parquet(path)
     train = rows.where("split = 'train'")
     options = {"iterations": s.iterations, "seed": s.seed}
     first = modeling.fit_reranker(train, columns, **options)

@@ -1,13 +1,13 @@
 """Every operator over the driver's tables.
 
 documents are the records (doc_id the id, lang the country, the whole text the name); those whose id is divisible by 3 are
-queries, all others the pool, so every row has a part. embeddings are vectors with label as the country. The 64 or fewer
-distinct part names, each with each, are the string pairs.
+queries, all others the pool, so every row has a part. embeddings are vectors with label as the country. Distinct part names
+that share a word or their first letter are the string pairs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom.functions import similarity as S
@@ -60,7 +60,7 @@ def extract_pin_house_state(spark, sf):
 
 def record_text(spark, sf):
     c = F.col
-    return _t(spark, sf, "part").select("p_partkey", T.entity_string(c("p_name"), c("p_type"), c("p_brand")).alias("entity"), T.labelled_text(c("p_name"), c("p_type"), F.lit(None).cast("string"), F.lit(""), c("p_brand")).alias("labelled"), T.encoder_text("query", T.clean_lexical(c("p_name")), T.clean_lexical(c("p_type"))).alias("encoder"))
+    return _t(spark, sf, "part").select("p_partkey", T.entity_string(c("p_name"), c("p_type"), c("p_brand")).alias("entity"), T.labelled_text(c("p_name"), c("p_type"), F.lit(None).cast("string"), F.lit(""), c("p_brand")).alias("labelled"), T.encoder_text("query", T.clean_lexical(c("p_name")), T.clean_lexical(c("p_type")), T.clean_lexical(c("p_brand")), T.skeleton(T.clean_lexical(c("p_name"))), F.lit(""), T.pin_code(c("p_type"))).alias("encoder"))
 
 
 def null_token_clean(spark, sf):
@@ -121,12 +121,12 @@ def _vectors(spark, sf) -> DataFrame:
 
 def knn_partitioned(spark, sf):
     v = _vectors(spark, sf)
-    return blocking.nearest(v, v, TOP, "label").select("query", "candidate", "sim", "rank")
+    return blocking.nearest_blocked(v, v, TOP, "label").select("query", "candidate", "sim", "rank")
 
 
 def knn_global(spark, sf):
     v = _vectors(spark, sf)
-    return blocking.nearest_blocked(v, v, TOP, query_blocks=4, pool_blocks=4).select("query", "candidate", "sim", "rank")
+    return blocking.nearest_blocked(v, v, TOP).select("query", "candidate", "sim", "rank")
 
 
 def rank_gap_features(spark, sf):
@@ -141,9 +141,11 @@ def cascade_prune(spark, sf):
 
 
 def _names(spark, sf) -> DataFrame:
-    """Each distinct part name with each, and how many pairs of parts have these names."""
-    n = _t(spark, sf, "part").groupBy("p_name").agg(F.count("*").alias("n"))
-    return n.select(F.col("p_name").alias("a"), F.col("n").alias("na")).crossJoin(F.broadcast(n.select(F.col("p_name").alias("b"), F.col("n").alias("nb"))))  # at most 64 by 64
+    """Pairs of distinct part names that share a word, or their first letter; of words and letters that at most 64 names have."""
+    n = _t(spark, sf, "part").select("p_name").distinct()
+    keys = F.array_union(F.split("p_name", " "), F.array(F.concat(F.lit("^"), F.substring("p_name", 1, 1))))
+    k = n.select(F.lit("").alias("country"), F.explode(F.array_distinct(keys)).alias("token"), F.col("p_name").alias("id"))
+    return blocking.block_pairs(k, k, 64).select(F.col("query").alias("a"), F.col("candidate").alias("b"))
 
 
 def _sim(f):
@@ -378,6 +380,123 @@ def isotonic_calibrate(spark, sf):
     return modeling.calibrated(modeling.fit_calibration(s), s).select("candidate", "prob", F.round("calibrated", 6).alias("calibrated"))
 
 
+def _told(c: str, prefix: str) -> Column:
+    return F.concat(F.lit(prefix), F.col(c).cast("string")).alias(c)
+
+
+def decide_ownership_ids(spark, sf):
+    """Ownership over string ids."""
+    return ranking.decide_ownership(_orders(spark, sf).select(_told("query", "S1-"), _told("candidate", "S2-"), "prob"), 0.8)
+
+
+def holdout_split_ids(spark, sf):
+    return training.holdout(_t(spark, sf, "documents").select(_told("doc_id", "S1-")), "doc_id")
+
+
+def train_triplets_ids(spark, sf):
+    """Over string ids; single records of a country get a negative from the country en."""
+    p = _sides(_records(spark, sf).select("id", "country"))[1].select(_told("id", "S2-"), "country")
+    pairs = _truth(spark, sf).select(_told("query", "S1-"), _told("candidate", "S2-")).distinct()
+    return training.triplets(pairs, p, fallback="en")
+
+
+def knn_partitioned_ids(spark, sf):
+    v = _vectors(spark, sf).select(_told("id", "S2-"), "vector", "label")
+    return blocking.nearest_blocked(v, v, TOP, "label").select("query", "candidate", "sim", "rank")
+
+
+def stream_ownership_ids(spark, sf):
+    return ownership.owners(_event_pairs(_t(spark, sf, "events").select("event_id", "user_id")).select(_told("query", "S1-"), _told("candidate", "S3-"), "prob"), 0.3)
+
+
+def transliterated_names(spark, sf):
+    """Names of several scripts, one for each part by its key."""
+    names = F.array(*map(F.lit, SCRIPTS))
+    name = F.concat(names[(F.col("p_partkey") % len(SCRIPTS)).cast("int")], F.lit(" "), F.col("p_partkey").cast("string"))
+    return _t(spark, sf, "part").select("p_partkey", T.clean_lexical(name).alias("lexical"), T.clean_text(name).alias("rules"))
+
+
+#: Names as they stand in records.
+SCRIPTS = ("Ærøskøbing Łódź", "Москва щука", "नमस्ते", "Ελλάδα", "தமிழ்", "Đorđe Pvtltd", "Straße 2nd fl", "東京 Limited")
+
+
+def short_names(spark, sf):
+    """Prefix fallback with names shorter than the prefix, and plain agreement of skeletons, empty ones among them."""
+    n = _t(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.lit("x").alias("country"), F.substring("p_brand", 7, 1).alias("digit"))
+    n = n.select("id", "country", F.concat(F.lit("aei"), F.when(F.col("digit") > "2", F.concat("digit", F.lit("bm ltd"))).otherwise("")).alias("name"))
+    q, p = n.where("id % 20 = 0"), n.where("id % 20 between 1 and 2")
+    pairs = blocking.prefix_fallback(q, p, spark.createDataFrame([], "query long, candidate long"), 10**6)
+    side = lambda d, k: d.select(F.col("id").alias(k), T.skeleton(F.col("name")).alias(f"{k}_s"))
+    pairs = pairs.join(side(q, "query"), "query").join(side(p, "candidate"), "candidate")
+    blank = [F.lit("").alias(f"{s}_{c}") for s in ("left", "right") for c in ("name", "address", "pin", "house")]
+    rows = pairs.select("query", "candidate", F.col("query_s").alias("left_skeleton"), F.col("candidate_s").alias("right_skeleton"), *blank)
+    return features.features_11(rows).select("query", "candidate", "skeleton", "pin", "house")
+
+
+def nonblank_text(spark, sf):
+    d = _t(spark, sf, "documents").select("doc_id", F.when(F.expr("doc_id % 9 = 0"), "  ").when(F.expr("doc_id % 10 = 0"), None).otherwise(F.col("source")).alias("text"))
+    return training.filled_texts(d, "text")
+
+
+def pair_cap(spark, sf):
+    return training.first_pairs(_orders(spark, sf), 200).select("query", "candidate")
+
+
+def positive_cap(spark, sf):
+    return training.sampled_pairs(_orders(spark, sf).where("prob >= 0.5").select("query", "candidate"), 300)
+
+
+def ownership_f05(spark, sf):
+    o = _orders(spark, sf)
+    return evaluation.ownership_f_beta(_t(spark, sf, "customer").select(F.col("c_custkey").alias("query")), o, o.where("query % 3 = candidate % 3").select("query", "candidate"), 0.6)
+
+
+def dummy_subset_test(spark, sf):
+    """The second half of the subset: other queries, other extra records."""
+    q, p = _sides(_records(spark, sf).select("id"))
+    return training.subset(q, p, _truth(spark, sf), 20, 50, 50, 100)[1]
+
+
+def file_rules(spark, sf):
+    """A written list file with a comma header and a row without a tab, as the validator sees its lines."""
+    path = scratch.folder(spark, "file")
+    o = _t(spark, sf, "orders").select(F.concat(F.lit("S1-"), "o_orderkey", F.when(F.expr("o_orderkey % 10 = 0"), " ").otherwise("\t"), F.lit("S2-1")).alias("value"))
+    o.write.text(path)
+    lines = spark.read.text(path).select("value", F.lit(1).alias("number"))
+    head = spark.createDataFrame([("source1_entity_id,matched_entity_ids", 0)], "value string, number int")
+    return quality.file_problems(lines.unionByName(head), ("source1_entity_id", "matched_entity_ids"))
+
+
+def embedding_cache_append(spark, sf):
+    """A cache filled in two calls, the second with texts that changed: as many vectors as records, of the texts as they are."""
+    path = scratch.folder(spark, "cache")
+    d = _t(spark, sf, "documents").select("doc_id", "text")
+    cache.cached_vectors(d.where("doc_id % 4 <> 0"), path, "doc_id", "text", cache.hashing_encoder(16))
+    now = d.withColumn("text", F.when(F.expr("doc_id % 6 = 1"), "new").otherwise(F.col("text")))
+    v = cache.cached_vectors(now, path, "doc_id", "text", cache.patient(cache.hashing_encoder(16)))
+    kept = spark.read.parquet(path).groupBy("id").agg(F.count("*").alias("versions"))
+    return v.join(kept, "id").select(F.col("id").alias("doc_id"), "versions", F.size("vector").alias("dim"))
+
+
+def audit_output(spark, sf):
+    """The profile written as CSV and JSON, and read back from both."""
+    path = scratch.folder(spark, "audit")
+    quality.write_profile(_t(spark, sf, "customer"), ["c_custkey", "c_name", "c_mktsegment"], path)
+    a = spark.read.option("header", True).csv(f"{path}/csv").select("column", F.col("n_rows").cast("long"), F.col("n_blank").cast("long"))
+    return a.join(spark.read.json(f"{path}/json").select("column", F.col("n_rows").alias("json_rows")), "column")
+
+
+def _overlap(left: list[str], right: list[str]) -> list[float]:
+    pairs = [(set(a.split()), set(b.split())) for a, b in zip(left, right, strict=True)]
+    return [len(a & b) / max(1, len(a | b)) for a, b in pairs]
+
+
+def pair_scorer(spark, sf):
+    """A plugged scorer in the cross-encoder's place."""
+    n = _names(spark, sf).select(F.col("a").alias("query"), F.col("b").alias("candidate"), F.col("a").alias("left"), F.col("b").alias("right"))
+    return modeling.scored_pairs(n, _overlap).select("query", "candidate", F.round("prob", 6).alias("prob"))
+
+
 def _event_pairs(df: DataFrame) -> DataFrame:
     return df.select(F.col("user_id").alias("query"), F.expr("event_id % 97").alias("candidate"), F.expr("event_id * 31 % 101 / 100.0D").alias("prob"))
 
@@ -396,7 +515,7 @@ def tsv_round_trip(spark, sf):
     """Records written as tab-separated text and read with the guard and the enrichment."""
     path = scratch.folder(spark, "tsv")
     d = _t(spark, sf, "part").select(F.concat(F.lit("S1-"), "p_partkey").alias("entity_id"), F.concat(F.lit('"'), "p_name").alias("business_name"), F.concat_ws(" ", F.col("p_size").cast("string"), F.col("p_type")).alias("business_address"), F.when(F.expr("p_partkey % 5 = 0"), "").otherwise(F.col("p_brand")).alias("country"))
-    d.coalesce(1).write.option("sep", "\t").option("header", True).option("quote", "").option("emptyValue", "").csv(path)
+    d.repartition(3).write.option("sep", "\t").option("header", True).option("quote", "").option("emptyValue", "").csv(path)
     back = tables.guarded(spark, tables.read_tsv(spark, path), [path])
     e = tables.enrich(back, "US")
     return e.select("entity_id", "business_name", "country_n", "name_n", "skeleton", "house", "state")
@@ -419,7 +538,9 @@ QUERIES = {f.__name__: f for f in (
     matches_outside_candidates, audit_profile, gt_summary, gt_size_histogram, country_distribution, dedupe_encode_join,
     embedding_cache_join, encoded_records, train_positives, train_triplets, holdout_split, sample_rows, split_loader,
     dummy_subset, row_numbers, gbt_rerank, two_stage_stack, isotonic_calibrate, stream_ownership, tsv_round_trip,
-    list_file_round_trip,
+    list_file_round_trip, decide_ownership_ids, holdout_split_ids, train_triplets_ids, knn_partitioned_ids, stream_ownership_ids,
+    transliterated_names, short_names, nonblank_text, pair_cap, positive_cap, ownership_f05, dummy_subset_test, file_rules,
+    embedding_cache_append, audit_output, pair_scorer,
 )} | {
     "sim_token_jaccard": sim_token_jaccard, "sim_ngram_jaccard": sim_ngram_jaccard, "sim_regex_jaccard": sim_regex_jaccard,
     "sim_jaro_winkler_gated": sim_jaro_winkler_gated, "sim_jaro_winkler_classic": sim_jaro_winkler_classic,

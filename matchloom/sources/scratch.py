@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
-_LOCAL_ROOTS: dict[str, str] = {}
-
-
 def folder(spark: SparkSession, what: str) -> str:
-    """A new folder name below spark.checkpoint.dir; a local one only where the session names none, as in tests."""
+    """A new folder name below spark.checkpoint.dir, which the session must name: executors see no other folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        app = spark.sparkContext.applicationId
-        root = _LOCAL_ROOTS[app] = _LOCAL_ROOTS.get(app) or "file://" + tempfile.mkdtemp(prefix="matchloom-")
-    return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}"
+        raise ValueError("spark.checkpoint.dir is not set: it names the folder that driver and executors share")
+    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex[:12]}"

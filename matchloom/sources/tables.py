@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from matchloom.functions import text as T
+from matchloom.sources import scratch
 
 RECORD = ("entity_id", "business_name", "business_address", "country")
 #: Names under which other layouts have an id, a name and an address.
@@ -25,7 +26,9 @@ def read_tsv(spark: SparkSession, path: str | list[str], columns: tuple[str, ...
 
 def guarded(spark: SparkSession, df: DataFrame, paths: list[str]) -> DataFrame:
     """df, if it has as many rows as the files have lines without their headers; else raises."""
-    lines, rows = spark.read.text(paths).where("value <> ''").count() - len(paths), df.count()
+    text = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file")).where("value <> ''")
+    seen = text.agg(F.count("*").alias("lines"), F.countDistinct("file").alias("files")).first()  # a header for each file that has a line
+    lines, rows = seen["lines"] - seen["files"], df.count()
     if lines != rows:
         raise ValueError(f"{rows} rows parsed from {lines} lines")
     return df
@@ -41,8 +44,7 @@ def aliased(df: DataFrame) -> DataFrame:
 
 def enrich(df: DataFrame, default_country: str = "") -> DataFrame:
     """Records with clean fields, skeleton, house, pin, state and token arrays."""
-    name, address = T.clean_lexical(F.col("business_name")), T.clean_lexical(F.col("business_address"))
-    land = F.upper(F.trim("country"))
+    name, address, land = (T.clean_lexical(F.col(c)) for c in ("business_name", "business_address", "country"))
     df = df.withColumns({"name_n": name, "addr_n": address, "country_n": F.when(land == "", default_country).otherwise(land)})
     return df.withColumns({"skeleton": T.skeleton(F.col("name_n")), "house": T.house_number(F.col("addr_n")), "pin": F.coalesce(T.pin_code(F.col("addr_n")), F.lit("")), "state": T.state_phrase(F.col("addr_n")), "name_tokens": T.tokens(F.col("name_n")), "addr_tokens": T.tokens(F.col("addr_n"))})
 
@@ -66,9 +68,17 @@ def write_lists(df: DataFrame, path: str, id_col: str, list_col: str) -> None:
 
 
 def numbered(df: DataFrame, *order: str) -> DataFrame:
-    """df with position from 0 by a stated order, in two passes: counts per range partition, then places within each."""
+    """df with position from 0 by a stated order, in two passes: counts per range partition, then places within each.
+
+    The range partitions are written first: both passes must see the same bounds, which come from a sample of the rows.
+    """
+    spark = df.sparkSession
     parts = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    path = scratch.folder(spark, "numbered")
+    parts.write.parquet(path)
+    parts = spark.read.schema(parts.schema).parquet(path)
     sizes = parts.groupBy("__part").agg(F.count("*").alias("n"))
+    # one row for each partition, so this window is small however large df is
     before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     place = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
     return parts.withColumn("__place", place).join(before, "__part").withColumn("position", F.col("__place") + F.col("before")).drop("__part", "__place", "n", "before")

@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 def owners(pairs: DataFrame, threshold: float) -> DataFrame:
     """candidate, query, prob of pairs (query, candidate, prob), streaming or not."""
-    best = F.max_by(F.struct("query", "prob"), F.struct(F.col("prob"), -F.col("query")))
+    best = F.min_by(F.struct("query", "prob"), F.struct(-F.col("prob"), F.col("query")))
     kept = pairs.where(F.col("prob") >= threshold).groupBy("candidate").agg(best.alias("owner"))
     return kept.select("candidate", F.col("owner.query").alias("query"), F.col("owner.prob").alias("prob"))
 

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,12 +106,21 @@ def test_house_blocks_are_within_token_blocks(spark):
     assert {(r.query, r.candidate) for r in blocking.block_pairs(house, house, 12).collect()} <= all_pairs
 
 
-def test_nearest_both_forms_agree(spark):
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_nearest_against_brute_force(spark, kind):
     r = random.Random(7)
-    v = spark.createDataFrame([(i, [r.gauss(0, 1) for _ in range(5)], i % 3) for i in range(40)] + [(99, [0.0] * 5, 1)], "id long, vector array<double>, c int")
+    rows = [(i, [float(r.choice((-1, 0, 1))) for _ in range(3)], i % 3) for i in range(40)] + [(99, [0.0] * 3, 1)]  # many ties
+    rows = [(i if kind == "long" else f"S2-{i}", v, c) for i, v, c in rows]
+    v = spark.createDataFrame(rows, f"id {kind}, vector array<double>, c int")
+    size = lambda x: sum(y * y for y in x) ** 0.5
     for key in (None, "c"):
-        a = sorted(map(tuple, blocking.nearest(v, v, 4, key).select("query", "candidate", "sim", "rank").collect()))
-        assert a == sorted(map(tuple, blocking.nearest_blocked(v, v, 4, key, 3, 2).select("query", "candidate", "sim", "rank").collect()))
+        want = []
+        for i, x, c in rows:
+            near = [(-round(sum(a * b for a, b in zip(x, y, strict=True)) / (size(x) * size(y)) if size(x) * size(y) else 0.0, 6), j) for j, y, d in rows if j != i and (key is None or c == d)]
+            want += [(i, j, -s + 0.0, k + 1) for k, (s, j) in enumerate(sorted(near)[:4])]
+        for rows_a_block in (7, 4096):
+            got = blocking.nearest_blocked(v, v, 4, key, rows_a_block).select("query", "candidate", "sim", "rank").collect()
+            assert sorted((q, c, s + 0.0, k) for q, c, s, k in got) == sorted(want)
 
 
 def test_f_beta_cases(spark):
@@ -190,15 +200,167 @@ def test_features_of_a_missing_record(spark):
     assert rows[1].name_ratio == 100 and rows[2].name_empty == 1 and rows[1].pin == -1 and rows[1].gap_next == 0.1 and rows[2].gap_next == 0
 
 
-def test_lexical_run(spark):
+def test_ownership_and_triplets_of_string_ids(spark):
+    p = spark.createDataFrame([("S1-2", "S2-7", 0.9), ("S1-10", "S2-7", 0.9), ("S1-3", "S2-8", 0.3)], "query string, candidate string, prob double")
+    assert [tuple(r) for r in ranking.decide_ownership(p, 0.35).collect()] == [("S1-10", "S2-7", 0.9)]
+    pool = spark.createDataFrame([(f"S2-{i}", "a") for i in range(5)] + [("S3-9", "b")], "id string, country string")
+    pairs = spark.createDataFrame([(f"S1-{q}", c) for q in range(6) for c in (*(f"S2-{i}" for i in range(5)), "S3-9")], "query string, candidate string")
+    got = training.triplets(pairs, pool, fallback="a").collect()
+    assert len(got) == 36 and all(r.negative != r.candidate and r.negative.startswith("S2-") for r in got)
+    assert len({r.negative for r in got}) == 5
+
+
+def test_capped_keeps_no_more_than_it_must(spark):
+    tokens = spark.createDataFrame([("x", "hot", i) for i in range(50)] + [("x", "rare", 3)], "country string, token string, id long")
+    assert [r.token for r in blocking.capped(tokens, 10).collect()] == ["rare"]
+    assert "WindowGroupLimit" in blocking.capped(tokens, 10)._jdf.queryExecution().executedPlan().toString()
+    assert {r.token for r in blocking.without_hot(tokens, tokens, 10).collect()} == {"rare"}
+
+
+def test_short_names_fall_back(spark):
+    q, p = (spark.createDataFrame(rows, "id string, country string, name string") for rows in ([("S1-1", "x", "ibm")], [("S2-1", "x", "ibm"), ("S2-2", "x", "ibmx")]))
+    none = spark.createDataFrame([], "query string, candidate string")
+    assert [tuple(r) for r in blocking.prefix_fallback(q, p, none, 10).collect()] == [("S1-1", "S2-1")]
+
+
+def _table_ratio(a, b):
+    t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+    return 100.0 if not a and not b else 200.0 * t[-1][-1] / (len(a) + len(b))
+
+
+def _table_set(a, b):
+    x, y = set(a.split()), set(b.split())
+    if not x or not y:
+        return 0.0
+    if x & y and (x <= y or y <= x):
+        return 100.0
+    both = " ".join(sorted(x & y))
+    one, two = (" ".join(filter(None, [both, " ".join(sorted(z))])) for z in (x - y, y - x))
+    return max(_table_ratio(one, two), *([_table_ratio(both, one), _table_ratio(both, two)] if both else [0.0]))
+
+
+def _table_partial(a, b):
+    if not a or not b:
+        return 100.0 if a == b else 0.0
+    a, b = sorted((a, b), key=len)
+    ways = [(a, b)] if len(a) < len(b) else [(a, b), (b, a)]
+    return max(_table_ratio(x, y[max(0, i) : i + len(x)]) for x, y in ways for i in range(1 - len(x), len(y)))
+
+
+def _table_jaro(a, b):
+    """Classic Jaro-Winkler, straight from the definition."""
+    reach, used, ours = max(max(len(a), len(b)) // 2 - 1, 0), set(), []
+    for i, c in enumerate(a):
+        j = next((j for j in range(max(0, i - reach), min(len(b), i + reach + 1)) if j not in used and b[j] == c), None)
+        if j is not None:
+            used.add(j)
+            ours.append(c)
+    theirs = [b[j] for j in sorted(used)]
+    m, k = len(ours), 0
+    j = (m / len(a) + m / len(b) + (m - sum(x != y for x, y in zip(ours, theirs, strict=True)) / 2) / m) / 3 if m else 0.0
+    while k < min(4, len(a), len(b)) and a[k] == b[k]:
+        k += 1
+    return j + k * 0.1 * (1 - j)
+
+
+def test_measures_against_tables():
+    r = random.Random(12)
+    for _ in range(200):
+        a, b = (" ".join("".join(r.choices("abc", k=r.randint(1, 5))) for _ in range(r.randint(0, 4))) for _ in range(2))
+        assert S.indel_ratio(a, b) == pytest.approx(_table_ratio(a, b))
+        assert S.token_sort_ratio(a, b) == pytest.approx(_table_ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split()))))
+        assert S.token_set_ratio(a, b) == pytest.approx(_table_set(a, b))
+        assert S.partial_ratio(a, b) == pytest.approx(_table_partial(a, b))
+        assert S.jaro_winkler(a, b) == pytest.approx(_table_jaro(a, b))
+
+
+def test_features_against_definitions(spark):
+    r = random.Random(13)
+    word = lambda: "".join(r.choices("abcde", k=r.randint(1, 6)))
+    text = lambda: " ".join(word() for _ in range(r.randint(0, 3)))
+    record = lambda: (text(), text(), r.choice(("", "12345", "54321")), r.choice(("", "1", "2")), r.choice(("", "bcd")), r.randint(0, 1))
+    rows = [(f"S1-{k // 4}", f"S2-{k}", round(r.random(), 3), *record(), *record()) for k in range(40)]
+    names = [f"{s}_{c}" for s in ("left", "right") for c in features.FIELDS]
+    kinds = ["string"] * 5 + ["int"]
+    d = spark.createDataFrame(rows, "query string, candidate string, sim double, " + ", ".join(f"{n} {k}" for n, k in zip(names, kinds * 2, strict=True))).withColumn("cosine", F.col("sim"))
+    grams = lambda x: {x[i : i + 3] for i in range(len(x) - 2)}
+    jac = lambda x, y: len(x & y) / len(x | y) if x and y else 0.0
+    by_gram = lambda x, y: jac(set(x.split()), set(y.split())) if min(len(x), len(y)) < 3 else jac(grams(x), grams(y))
+    tri = lambda x, y: -1 if not x or not y else int(x == y)
+    same = lambda x, y: int(bool(x) and x == y)
+    ratio = lambda x, y: min(len(x), len(y)) / max(len(x), len(y)) if x or y else 0.0
+    found = {k: {row.candidate: row for row in f(d).collect()} for k, f in ((8, features.features_8), (11, features.features_11), (12, features.features_12), (19, features.features_19))}
+    for q, c, sim, n, a, pin, house, skel, _, m, b, pin2, house2, skel2, source2 in rows:
+        want8 = (_table_jaro(n, m), jac(set(n.split()), set(m.split())), by_gram(n, m), jac(set(a.split()), set(b.split())), by_gram(a, b), tri(pin, pin2), sim, source2)
+        assert tuple(found[8][c])[2:] == pytest.approx(want8, abs=1e-6)
+        want11 = (_table_ratio(n, m) / 100, _table_ratio(a, b) / 100, _table_set(n, m) / 100, _table_set(a, b) / 100, same(pin, pin2), same(house, house2), int(skel == skel2), 0, 0, 0, 0)
+        assert tuple(found[12][c])[2:] == pytest.approx((sim, *want11), abs=1e-6)
+        assert tuple(found[11][c])[-11:] == pytest.approx(want11, abs=1e-6)
+        group = sorted(((-x[2], x[1]) for x in rows if x[0] == q))
+        at = group.index((-sim, c))
+        rank = (sim, at, -group[0][0], -group[0][0] - sim, sim + group[at + 1][0] if at + 1 < len(group) else 0.0)
+        want19 = (S.jaro_winkler_gated(n, m), _table_ratio(n, m), _table_set(n, m), _table_ratio(" ".join(sorted(n.split())), " ".join(sorted(m.split()))), _table_partial(n, m), _table_ratio(a, b), _table_set(a, b), _table_ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split()))), tri(pin, pin2), tri(house, house2), source2, ratio(n, m), ratio(a, b), int(not n or not m))
+        assert tuple(found[19][c])[2:] == pytest.approx((*rank, *want19), abs=1e-6)
+
+
+def test_models_learn_what_the_features_say(spark):
+    rows = [(f"S1-{k // 5}", f"S2-{k}", float(k % 5 == 0), float(k % 3), int(k % 5 == 0), k // 5 % 4) for k in range(200)]
+    d = spark.createDataFrame(rows, "query string, candidate string, x double, y double, label int, fold int")
+    model = modeling.fit_reranker(d.withColumn("valid", F.col("fold") == 0), ["x", "y"], iterations=4, validation="valid")
+    scored = model.transform(d)
+    assert scored.where("(prob > 0.5) <> (label = 1)").count() == 0 and model.importances()["x"] > 0.9
+    staged = features.with_context(modeling.out_of_fold(d, ["x", "y"], "fold", 4, iterations=3)).withColumnRenamed("prob", "stage1")
+    wide = ["x", "y", "stage1", "relative_rank", "best_gap", "support"]
+    out = modeling.fit_reranker(staged, wide, iterations=3).transform(staged)
+    assert out.count() == 200 and out.where("(prob > 0.5) <> (label = 1)").count() == 0
+    curve = modeling.fit_calibration(scored)
+    assert modeling.calibrated(curve, scored).where("abs(calibrated - label) > 0.01").count() == 0
+
+
+def test_scorer_that_runs_out_of_memory(spark):
+    def scorer(left, right):
+        if len(left) > 2 or "bad" in left:
+            raise MemoryError
+        return [float(len(a)) for a in left]
+
+    d = spark.createDataFrame([(f"S1-{k}", f"S2-{k}", "bad" if k == 3 else "x" * k, "y") for k in range(9)], "query string, candidate string, left string, right string").coalesce(1)
+    assert {r.query: r.prob for r in modeling.scored_pairs(d, scorer).collect()} == {f"S1-{k}": 0.0 if k == 3 else float(k) for k in range(9)}
+
+
+def test_patient_encoder():
+    calls = []
+
+    def flaky(texts):
+        calls.append(len(texts))
+        if len(texts) > 1 or calls.count(1) == 1:
+            raise OSError
+        return np.ones((1, 2))
+
+    assert cache.patient(flaky, tries=2, wait=0)(["a", "b"]).shape == (2, 2) and calls == [2, 2, 1, 1, 1]
+
+
+def test_guard_counts_a_header_for_each_file(spark, tmp_path):
+    d = spark.createDataFrame([(f"S1-{i}", "a", "b", "") for i in range(9)], "entity_id string, business_name string, business_address string, country string")
+    tables.write_lists(d.select("entity_id", "business_name").repartition(3), str(tmp_path / "x"), "entity_id", "business_name")
+    assert tables.guarded(spark, tables.read_tsv(spark, str(tmp_path / "x"), ("entity_id",)), [str(tmp_path / "x")]).count() == 9
+    with pytest.raises(ValueError):
+        tables.guarded(spark, d.limit(2), [str(tmp_path / "x")])
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_lexical_run(spark, kind):
     r = random.Random(9)
+    name = (lambda i: i) if kind == "long" else lambda i: f"S1-{i}" if i < 100 else f"S{2 + i % 2}-{i}"
     words = ["".join(r.choices("bcdfglmnprst", k=2)) + r.choice("aeio") + "".join(r.choices("klmnrst", k=2)) for _ in range(60)]
-    own = [(i, " ".join(r.sample(words, 3)), f"{r.randint(1, 99)} {r.choice(words)} road", "US") for i in range(40)]
-    copies = [(100 + i, n.replace("a", "e", 1), a, c) for i, n, a, c in own if i % 2]
-    others = [(200 + i, " ".join(r.sample(words, 3)), f"{r.randint(1, 99)} {r.choice(words)} road", "US") for i in range(30)]
-    make = lambda rows: tables.enrich(spark.createDataFrame(rows, "id long, business_name string, business_address string, country string"))
+    own = [(name(i), " ".join(r.sample(words, 3)), f"{r.randint(1, 99)} {r.choice(words)} road", "US") for i in range(40)]
+    copies = [(name(100 + i), n.replace("a", "e", 1), a, c) for i, (_, n, a, c) in enumerate(own) if i % 2]
+    others = [(name(200 + i), " ".join(r.sample(words, 3)), f"{r.randint(1, 99)} {r.choice(words)} road", "US") for i in range(30)]
+    make = lambda rows: tables.enrich(spark.createDataFrame(rows, f"id {kind}, business_name string, business_address string, country string"))
     q, p = make(own), make(copies + others)
-    truth = spark.createDataFrame([(i, 100 + i) for i in range(40) if i % 2], "query long, candidate long")
+    truth = spark.createDataFrame([(name(i), name(100 + i)) for i in range(40) if i % 2], f"query {kind}, candidate {kind}")
     s = pipelines.Settings(top_k=10, cap=30, iterations=3, folds=2, grid=[0.2, 0.5, 0.8])
     candidates = pipelines.lexical_candidates(q, p, s)
     result = pipelines.rerank(candidates, q, p, truth, s)
