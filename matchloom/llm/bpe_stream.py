@@ -2,22 +2,26 @@
 
 Greedy merging by rank gives each byte string one token sequence, and a sequence is that one exactly if each two of its
 neighbours could stand side by side (merging their bytes gives the two back). So for each prefix of the input there is one
-last token, and the prefix's tokens are a path of such last tokens. The transducer keeps that path for the positions that a
-token yet to come may start at: no token is longer than ``max_token_bytes``, so these are the last max_token_bytes
-positions. Where all their paths have met, no further input can change anything before the meeting point, and the tokens up
-to there are emitted; so what is emitted is right however far the paths run apart. How far they can is a property of the
-merge list: input reaches back through merges each of which takes what the one before it begins with.
-``sufficient_lookahead`` gives the longest such chain (72 tokens for the vocabulary at hand), and tests hold the bytes that
-the transducer keeps against 2 * max_token_bytes on input without a break.
+last token, and the prefix's tokens are a path of such last tokens.
 
-Input is split as the vocabulary's pre-tokenizer splits it (the pattern looks one character ahead). Runs between white space
-are coded once and kept in a bounded table; whatever isn't in it goes through the transducer.
+After each byte the transducer's state is the places where a token that is still growing may have begun: for each, how far into
+the vocabulary's trie the bytes since lead, and the path of tokens from the last settled point to it. What all these paths
+begin with can't change any more, and is emitted at once. How long it can take until they agree is a property of the merge
+list: input reaches back through merges each of which takes what the one before it begins with. ``lookahead`` is the longest
+such chain (72 tokens for the vocabulary at hand) in bytes. It is computed when a vocabulary is loaded, and it bounds what
+is held: a token that ends further back is settled whatever comes, so it leaves, and paths without it are dropped.
+
+A state does not depend on the text before its settled point but for one token, so states recur; each step from a state by a
+byte is worked out once and kept in a bounded table, which makes the machine a finite transducer built as it is used. Every
+pre-token, short or long, goes through it. Input is split as the vocabulary's pre-tokenizer splits it (the pattern looks one
+character ahead); what the machine gave for a run between white space is kept in a bounded table too.
 
 Decoding maps ids to bytes and feeds them to an incremental UTF-8 decoder, which keeps at most three bytes and writes U+FFFD
 for what is no UTF-8. Ids of special tokens give their strings.
 
-Cases: null or empty text: no ids, empty text. Texts with a special token's string: one id, as in the library. Repeated
-rows: equal results. Empty table: no rows. Other columns: ignored.
+Cases: null or empty text: no ids, empty text. Very long texts and pre-tokens: time in proportion, constant memory beyond the
+text and its ids. Texts with a special token's string: one id, as in the library. Ties: of equal merges the leftmost is
+first. Repeated rows: equal results. Empty table: no rows. Other columns: ignored.
 """
 
 from __future__ import annotations
@@ -57,8 +61,6 @@ class Vocabulary:
         self.bytes |= {i: t.encode() for t, i in self.special.items()}
         ids = {b: i for i, b in self.bytes.items() if i not in set(self.special.values())}
         self.ids = ids
-        self.begins: dict[bytes, int] = {b[:k]: -1 for b in ids for k in range(1, len(b))}  # what tokens begin with
-        self.begins |= ids
         self.rank: dict[tuple[int, int], int] = {}
         self.made: dict[int, tuple[int, int, int]] = {}  # token: its two parts and the rank of their merge
         for rank, pair in enumerate(told["model"]["merges"]):
@@ -68,9 +70,25 @@ class Vocabulary:
             self.rank.setdefault(key, rank)
             self.made.setdefault(ids[a + b], (*key, rank))
         self.max_token_bytes = max(map(len, ids))
+        # the trie: node << 8 | byte to node; the token at each node, -1 for none; and whether more can follow
+        self.child: dict[int, int] = {}
+        self.token, self.inner = [-1], [True]
+        for word, i in ids.items():
+            node = 0
+            for byte in word:
+                key = node << 8 | byte
+                step = self.child.get(key)
+                if step is None:
+                    self.inner[node] = True
+                    step = self.child[key] = len(self.token)
+                    self.token.append(-1)
+                    self.inner.append(False)
+                node = step
+            self.token[node] = i
         self._right: dict[int, list[tuple[int, float]]] = {}
         self._left: dict[int, list[tuple[int, float]]] = {}
         self._fits: dict[int, bool] = {}
+        self.lookahead = self.sufficient_lookahead() * self.max_token_bytes
 
     def edge(self, token: int, right: bool) -> list[tuple[int, float]]:
         """What stands at the token's right (or left) edge while it is being merged: (token, rank that ends it)."""
@@ -124,118 +142,115 @@ class Vocabulary:
         return 1 + max(depth.values(), default=1)
 
 
+#: A place where a token may have begun: (trie node, tokens from the settled point to the place, the token before the place).
+Place = tuple[int, tuple[int, ...], int]
+
+
 class Transducer:
-    """Codes one pre-token, fed in pieces of any size; feed() gives the tokens that are settled, finish() the rest."""
-
-    def __init__(self, vocabulary: Vocabulary):
-        self.v = vocabulary
-        self._reset()
-        self.most_held = 0
-
-    def _reset(self) -> None:
-        self.data = bytearray()  # bytes behind the settled point
-        self.last: list[int] = []  # the last token of each prefix that ends there; -1 where there is none
-        self.before = -1  # the token that ends at the settled point
-
-    def _step(self) -> None:
-        """The last token of the prefix that ends with the byte just added."""
-        v, data, last = self.v, self.data, self.last
-        end = len(data)
-        limit = min(end, v.max_token_bytes)
-        ids = v.ids
-        for n in range(limit, 0, -1):
-            token = ids.get(bytes(data[end - n : end]))
-            if token is None:
-                continue
-            previous = last[end - n - 1] if end > n else self.before
-            if end > n and previous < 0:
+    """Codes one pre-token after another, fed in pieces of any size; feed() gives the tokens that are settled, finish() the rest.
+
+    most_steps bounds the table of steps; a full table is thrown away and built anew.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, most_steps: int = 300_000):
+        self.v, self.most_steps = vocabulary, most_steps
+        self.most_held = self.most_tokens = 0  # bytes and tokens that were held back at once
+        self._clear()
+        self.state = 0
+
+    def _clear(self) -> None:
+        self.places: list[tuple[Place, ...]] = []
+        self.number: dict[tuple[Place, ...], int] = {}
+        self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self._named(((0, (), -1),))
+
+    def _named(self, state: tuple[Place, ...]) -> int:
+        known = self.number.setdefault(state, len(self.places))
+        if known == len(self.places):
+            self.places.append(state)
+        return known
+
+    def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+        """The next state, and what is settled by it."""
+        v, out, whole = self.v, [], None
+        child, token_at, inner, fits = v.child.get, v.token, v.inner, v._fits.get
+        for node, path, before in self.places[state]:  # in the order of their begins, so the first has the shortest path
+            node = child(node << 8 | byte)
+            if node is None:  # no token goes on like this
                 continue
-            if previous < 0 or v.fits(previous, token):
-                last.append(token)
-                return
-        last.append(-1)
+            if whole is None and (token := token_at[node]) >= 0:  # a prefix has one last token
+                known = True if before < 0 else fits(before << 20 | token)
+                if v.fits(before, token) if known is None else known:
+                    whole = (0, (*path, token), token)
+            if inner[node]:
+                out.append((node, path, before))
+        if whole is None:
+            raise ValueError(f"the vocabulary has no token for byte {byte}")
+        settled, n = whole[1], 0
+        if not out:
+            n = len(settled)
+        elif out[0][1]:
+            for x, *others in zip(settled, *(p for _, p, _ in out)):  # noqa: B905  up to the shortest
+                if any(y != x for y in others):
+                    break
+                n += 1
+        out.append(whole)
+        count = len(settled) - n
+        if count > self.most_tokens or count * v.max_token_bytes > v.lookahead:
+            self.most_tokens = max(count, self.most_tokens)
+            held = sum(len(v.bytes[t]) for t in settled[n:])
+            while held > v.lookahead:  # settled all the same: no input reaches further back
+                held -= len(v.bytes[settled[n]])
+                n += 1
+                out = [p for p in out if p[1][:n] == settled[:n]]
+            self.most_held = max(self.most_held, held)
+        after = tuple([(a, p[n:], b) for a, p, b in out]) if n else tuple(out)
+        if len(self.steps) >= self.most_steps:
+            self._clear()
+            return self._named(after), settled[:n]
+        found = self.steps[state << 8 | byte] = (self._named(after), settled[:n])
+        return found
 
     def feed(self, piece: bytes) -> list[int]:
         out: list[int] = []
+        state, known, step = self.state, self.steps.get, self._step
         for byte in piece:
-            self.data.append(byte)
-            self._step()
-            if len(self.data) > 2 * self.v.max_token_bytes:
-                out += self._settled()
-        self.most_held = max(self.most_held, len(self.data))
+            found = known(state << 8 | byte)
+            if found is None:
+                found = step(state, byte)
+                known = self.steps.get
+            state, tokens = found
+            if tokens:
+                out += tokens
+        self.state = state
         return out
 
-    def whole(self, data: bytes) -> list[int]:
-        """feed(data) and finish() in one, for short input: all of it is held, so nothing need be settled before its end."""
-        v, n = self.v, len(data)
-        grow, fits, tried = v.begins.get, v._fits.get, v.fits
-        last = [-1] * (n + 1)
-        for end in range(1, n + 1):
-            token = grow(data[:end])
-            if token is None:  # no token begins like this
-                break
-            last[end] = token
-        if last[n] < 0:
-            for start in range(1, n):
-                previous = last[start]
-                if previous < 0:
-                    continue
-                high = previous << 20
-                for end in range(start + 1, n + 1):
-                    token = grow(data[start:end])
-                    if token is None:
-                        break
-                    if token >= 0 and last[end] < 0:  # a prefix has one last token, so the first that fits is the one
-                        known = fits(high | token)
-                        if tried(previous, token) if known is None else known:
-                            last[end] = token
-        out = []
-        while n:
-            out.append(last[n])
-            n -= len(v.bytes[last[n]])
-        return out[::-1]
-
-    def _path(self, end: int) -> list[int]:
-        """Where the tokens of the prefix that ends at `end` begin, from the last to the first."""
-        out = []
-        while end > 0:
-            end -= len(self.v.bytes[self.last[end - 1]])
-            out.append(end)
-        return out
+    def _end(self, state: int, byte: int) -> tuple[int, ...]:
+        """What is held back in the state, and the byte: the tokens if the input ends with it. The state that it would lead to is
+        not worked out."""
+        v = self.v
+        for node, path, before in self.places[state]:
+            node = v.child.get(node << 8 | byte)
+            if node is not None and (token := v.token[node]) >= 0 and (before < 0 or v.fits(before, token)):
+                return (*path, token)
+        raise ValueError(f"the vocabulary has no token for byte {byte}")
 
-    def _settled(self) -> list[int]:
-        """Tokens up to the last point that the paths of all live positions have in common."""
-        n, reach = len(self.data), self.v.max_token_bytes
-        common: set[int] | None = None
-        for end in range(max(1, n - reach + 1), n + 1):
-            if self.last[end - 1] >= 0:
-                points = {end, *self._path(end)}
-                common = points if common is None else common & points
-        point = max(common, default=0) if common else 0
-        return self._emit(point) if point else []
-
-    def _emit(self, point: int) -> list[int]:
-        tokens, end = [], point
-        while end > 0:
-            tokens.append(self.last[end - 1])
-            end -= len(self.v.bytes[tokens[-1]])
-        del self.data[:point]
-        del self.last[:point]
-        if tokens:
-            self.before = tokens[0]
-        return tokens[::-1]
-
-    def finish(self) -> list[int]:
-        self.most_held = max(self.most_held, len(self.data))
-        out = self._emit(len(self.data))
-        self._reset()
-        return out
+    def word(self, data: bytes) -> tuple[int, ...]:
+        """feed(data) and finish() in one; between inputs only."""
+        out = self.feed(data[:-1])
+        state, self.state = self.state, 0
+        return (*out, *self._end(state, data[-1]))
+
+    def finish(self) -> tuple[int, ...]:
+        rest = self.places[self.state][-1][1]
+        self.state = 0
+        return rest
 
 
 class Coder:
     """Texts to ids and back. most_runs and most_parts bound the tables of coded runs and pre-tokens; when one is full, its later half goes."""
 
-    def __init__(self, path: str, most_runs: int = 800_000, most_parts: int = 100_000):
+    def __init__(self, path: str, most_runs: int = 700_000, most_parts: int = 50_000):
         self.v = Vocabulary(path)
         self.transducer = Transducer(self.v)
         self.most_runs, self.most_parts = most_runs, most_parts
@@ -245,26 +260,19 @@ class Coder:
 
     def part(self, text: str) -> tuple[int, ...]:
         """One pre-token."""
-        data = text.encode("utf-8", "surrogatepass")
-        whole = self.v.ids.get(data)
-        if whole is not None and len(data) == 1:
-            return (whole,)
-        if len(data) > 64:
-            out: list[int] = []
-            for i in range(0, len(data), 4096):
-                out += self.transducer.feed(data[i : i + 4096])
-            return (*out, *self.transducer.finish())
         known = self.parts.get(text)
         if known is None:
-            known = self.parts[text] = tuple(self.transducer.whole(data))
+            known = self.transducer.word(text.encode("utf-8", "surrogatepass"))
+            if len(text) <= 64:
+                self.parts[text] = known
         return known
 
     def run(self, text: str) -> tuple[tuple[int, ...], str]:
         if len(text) <= 64 and (text.isalpha() or text[0] == " " and text[1:].isalpha()):  # one pre-token
-            ids = tuple(self.transducer.whole(text.encode()))
+            ids = self.transducer.word(text.encode())
         else:
             ids = tuple(chain.from_iterable(map(self.part, SPLIT.findall(text))))
-        return ids, ",".join(map(str, ids))
+        return ids, str(ids)[1:-1].replace(" ", "").rstrip(",")
 
     def _met(self, run: str) -> tuple[tuple[int, ...], str]:
         entry = self.runs.get(run)
