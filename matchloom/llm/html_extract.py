@@ -1,19 +1,20 @@
 """Main text of web pages by a tree-structured graphical model over the DOM.
 
-Each block element is a node with two states, content or not. Its own evidence is a product of feature likelihoods (tag,
-words of class and id, share of linked text, amount of text, punctuation); between parent and child stands a potential
-P(child | parent). All tables are counted, with add-one smoothing, from labelled pages. Sum-product messages go up from
+Each block element is a node with two states, content or not. Its own evidence is a product of feature likelihoods, all of the
+node alone: tag, words of class and id, and its own text. A paragraph looks the same in an article, a comment and a footer; what
+tells them apart comes from above and below, through the potential P(child | parent) between parent and child. All tables are counted, with add-one smoothing, from labelled pages. Sum-product messages go up from
 the leaves and down from the root, which is exact on a tree, and give each node's marginal; the text of nodes that are
 likelier content than not is kept, block by block.
 
 The labelled pages are built here from a seed: ``labelled_pages(n, seed)`` varies layouts, wrappers, names and boilerplate,
-and knows which elements are content. n (default 400) is the bound of the sample.
+and knows which elements are content; comments and other boilerplate have paragraphs as an article has. n (default 400) is the
+bound of the sample.
 
 Parsing follows HTML's rules as far as text needs them: quoted attributes, comments, raw text elements, void elements,
 implied ends of p, li, dt, dd, option and table parts, end tags without a begin, and input that breaks off anywhere. It uses
 no recursion, so depth is no limit.
 
-Cases: null or empty html: empty text. A page without content nodes: empty text. Repeated rows: equal results. A null
+Cases: null or empty html: empty text. Very long or deep pages: time and memory in proportion to the page. A page without content nodes: empty text. Repeated rows: equal results. A null
 page_id or url: null. Empty table: no rows. Other columns: ignored.
 """
 
@@ -23,8 +24,9 @@ import html as entities
 import random
 import re
 from collections.abc import Iterator
+from copy import copy
 from functools import lru_cache
-from math import exp, log1p
+from math import exp, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,7 @@ from matchloom.llm.common import slices
 
 #: Element names of HTML, by what they do to text.
 RAW = set("script style title textarea noscript template iframe noframes xmp svg math select".split())
+FOREIGN = {"svg", "math"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 ENDS_P = BLOCKS - {"body", "html", "tbody", "td", "tfoot", "th", "thead", "tr", "dd", "dt", "li"} | {"li", "dd", "dt"}
@@ -47,6 +50,7 @@ FOR = set("article content post entry story main body text page prose mainconten
 _TOKEN = re.compile(r"<(?:!--.*?(?:-->|$)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)(?:>|$)|(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)|[!?/][^>]*(?:>|$))", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[A-Za-z]+")
+_CLOSED = re.compile(r"(?:^|[\s\"'])/$")
 _STOPS = re.compile(r"[.,;:!?]")
 
 
@@ -118,7 +122,8 @@ def parse(page: str) -> Tree:
                 run.append(" ")
             continue
         if name in RAW:
-            if not rest.endswith("/"):
+            # only foreign elements (svg, math) may close themselves; a slash at the end of an unquoted value is part of it
+            if not (name in FOREIGN and _CLOSED.search(rest)):
                 m = re.compile(rf"</{re.escape(name)}(?=[\s/>]|$)[^>]*(?:>|$)", re.I).search(page, at)
                 at = m.end() if m else n
             continue
@@ -145,32 +150,25 @@ def parse(page: str) -> Tree:
             tree.linked.append(0)
             tree.stops.append(0)
             stack.append((name, len(tree.parent) - 1))
-        elif not rest.endswith("/"):
+        else:
             links += name == "a"
             stack.append((name, stack[-1][1]))
     close_run()
     return tree
 
 
-FEATURES = ("tag", "names", "links", "size", "stops")
-#: The last two say nearly the same of a text, so neither counts in full.
-WEIGHTS = (1.0, 1.0, 1.0, 0.5, 0.5)
+FEATURES = ("tag", "names", "text")
 
 
 def described(tree: Tree) -> list[tuple]:
-    """A value of each feature for each node; amounts are those of the whole subtree."""
-    chars, linked, stops = tree.chars[:], tree.linked[:], tree.stops[:]
-    for k in range(len(chars) - 1, 0, -1):
-        p = tree.parent[k]
-        chars[p] += chars[k]
-        linked[p] += linked[k]
-        stops[p] += stops[k]
+    """A value of each feature for each node, from the node alone: its tag, the words of its class and id, and its own running
+    text (not that of nodes inside it) by amount, share of links and punctuation."""
     out = []
-    for k, c in enumerate(chars):
-        words = {w.lower() for w in _WORD.findall(tree.names[k])}
+    for tag, names, chars, linked, stops in zip(tree.tag, tree.names, tree.chars, tree.linked, tree.stops, strict=True):
+        words = {w.lower() for w in _WORD.findall(names)}
         spoken = ("against" if words & AGAINST else "for" if words & FOR else "other") if words else "none"
-        share = linked[k] / c if c else 0.0
-        out.append((tree.tag[k], spoken, "none" if not c else int(share * 3.999), 0 if not c else 1 + (c >= 25) + (c >= 100) + (c >= 400), "none" if c < 10 else min(3, int(100 * stops[k] / c))))
+        text = (int(linked / chars * 1.999), 1 + (chars >= 40) + (chars >= 200), 0 if chars < 10 else min(2, int(100 * stops / chars))) if chars else "none"
+        out.append((tag, spoken, text))
     return out
 
 
@@ -181,18 +179,25 @@ class Model:
         """pages: html, and the numbers (page order) of its content nodes."""
         values: list[dict] = [{} for _ in FEATURES]
         edge = np.ones((2, 2))
+        by_kind: dict[tuple, np.ndarray] = {}
         total = np.zeros(2)
         for page, content in pages:
             tree = parse(page)
-            for k, row in enumerate(described(tree)):
+            rows = described(tree)
+            for k, row in enumerate(rows):
                 y = int(k in content)
                 total[y] += 1
                 for table, v in zip(values, row, strict=True):
                     table.setdefault(v, np.zeros(2))[y] += 1
                 if k:
-                    edge[int(tree.parent[k] in content), y] += 1
-        self.edge = np.log(edge / edge.sum(axis=1, keepdims=True)).tolist()
-        self.tables = [{v: tuple((w * np.log((c + 1) / (total + len(t) + 1))).tolist()) for v, c in t.items()} for t, w in zip(values, WEIGHTS, strict=True)]
+                    x = int(tree.parent[k] in content)
+                    edge[x, y] += 1
+                    by_kind.setdefault(rows[tree.parent[k]][:2], np.zeros((2, 2)))[x, y] += 1
+        # P(child | parent): of parents with this tag and kind of names, drawn towards that of all parents
+        share = edge / edge.sum(axis=1, keepdims=True)
+        told = lambda n: np.log((n + 4 * share) / (n + 4 * share).sum(axis=1, keepdims=True)).tolist()
+        self.edge, self.edges = told(np.zeros((2, 2))), {kind: told(n) for kind, n in by_kind.items()}
+        self.tables = [{v: tuple(np.log((c + 1) / (total + len(t) + 1)).tolist()) for v, c in t.items()} for t in values]
 
     def marginals(self, tree: Tree) -> list[float]:
         """log-odds of content of each node given the whole page."""
@@ -209,10 +214,11 @@ class Model:
                 b += x[1]
             own0[k], own1[k] = a, b
         own1[0] = own0[0] - 50.0  # the page as a whole is no content
-        (e00, e01), (e10, e11) = self.edge
+        edge = [self.edges.get(rows[p][:2], self.edge) for p in parent]  # of a node to its parent; the root's is not used
         up0, up1 = [0.0] * n, [0.0] * n  # message of k to its parent, by the parent's state
         for k in range(n - 1, 0, -1):
             a, b, p = own0[k], own1[k], parent[k]
+            (e00, e01), (e10, e11) = edge[k]
             up0[k], up1[k] = _sum(e00 + a, e01 + b), _sum(e10 + a, e11 + b)
             own0[p] += up0[k]
             own1[p] += up1[k]
@@ -221,12 +227,19 @@ class Model:
         odds[0] = all1[0] - all0[0]
         for k in range(1, n):
             p = parent[k]
+            (e00, e01), (e10, e11) = edge[k]
             a, b = all0[p] - up0[k], all1[p] - up1[k]
             all0[k] += _sum(a + e00, b + e10)
             all1[k] += _sum(a + e01, b + e11)
             odds[k] = all1[k] - all0[k]
         return odds
 
+    def without_edges(self) -> Model:
+        """The same evidence with parent and child independent: what the messages are worth."""
+        out = copy(self)
+        out.edge, out.edges = [[-log(2)] * 2] * 2, {}
+        return out
+
     def text(self, page: str) -> str:
         tree = parse(page)
         odds = self.marginals(tree)
@@ -290,18 +303,21 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[tuple[str, set[int]]]:
 
     def small(b: _Builder, tag: str, names: str = "") -> None:
         b.open(tag, False, names)
-        for _ in range(r.randint(0, 2)):
-            b.leaf(r.choice(("p", "div", "h3")), False, words(r.randint(2, 18)))
+        for _ in range(r.randint(0, 3)):
+            b.leaf(r.choice(("p", "p", "div", "h3")), False, words(r.choice((r.randint(2, 18), r.randint(12, 80)))))
         b.out.append(words(r.randint(1, 25)) if r.random() < 0.8 else link(3))
         b.end(tag)
 
     def remark(b: _Builder) -> None:
         tag = r.choice(("section", "div"))
         b.open(tag, False, r.choice(("comments", "comment-list", "discussion", "replies")))
-        for _ in range(r.randint(1, 4)):
-            b.open(r.choice(("div", "li")), False, "comment")
+        for _ in range(r.randint(1, 9)):
+            b.open(r.choice(("div", "li")), False, r.choice(("comment", "", "row")))
             t = b.out[-1][1:].split(" ")[0]
-            b.leaf("p", False, words(r.randint(3, 60)))
+            for _ in range(r.randint(1, 3)):
+                b.leaf("p", False, words(r.choice((r.randint(1, 12), r.randint(12, 80), r.randint(40, 160)))))
+            if r.random() < 0.3:
+                b.leaf(r.choice(("h2", "h3", "blockquote")), False, words(r.randint(1, 9), False))
             b.end(t)
         b.end(tag)
 
@@ -382,7 +398,7 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[tuple[str, set[int]]]:
         article(b)
         if r.random() < 0.35:
             (menu if r.random() < 0.5 else small)(b, *(("aside", r.choice(("", "sidebar"))) if r.random() < 0.6 else ("div", r.choice(("sidebar", "related", "widget")))))
-        if r.random() < 0.3:
+        if r.random() < 0.75:
             remark(b)
         if r.random() < 0.3:
             form(b)
