@@ -2,10 +2,10 @@
 
 mu-law and A-law samples are expanded by lookup tables of 256 entries. ADPCM is decoded with numpy across blocks: a block
 starts from its own header, so step i of every block of a batch is done at once and the loop runs over the samples of one
-block only. PCM is resampled to a multiple of its rate by linear interpolation within each recording.
+block only. PCM is resampled to any rate by linear interpolation within each recording, and stored beside the recording.
 
 Cases: a null recording has null results; a null or empty text's payload is 64 zero bytes; a payload that is not whole
-blocks (ADPCM) or whose container is damaged raises ValueError; equal payloads have equal containers and features; other
+blocks (ADPCM) or whose container is damaged raises ValueError; very long texts: like others; equal payloads have equal containers, PCM and features; other
 columns are ignored, whatever their names; an empty table gives no rows.
 """
 
@@ -32,6 +32,7 @@ STEPS = np.array([
 ], np.int32)
 INDEX_CHANGE = np.array([-1, -1, -1, -1, 2, 4, 6, 8], np.int32)
 BLOCK = 64  # bytes of an ADPCM block: 4 of header, 60 of two samples each
+PCM_RATE = 4000  # of stored PCM; telephony's 8000 samples a second would be twice its size
 NAMES = {MULAW: "mulaw", ALAW: "alaw", ADPCM: "adpcm"}
 
 
@@ -122,17 +123,17 @@ def decode(payloads: list[bytes], codec: int) -> tuple[np.ndarray, np.ndarray]:
     raise ValueError(f"codec {codec} is none of {sorted(NAMES)}")
 
 
-def resample(pcm: np.ndarray, lengths: np.ndarray, times: int = 2) -> np.ndarray:
-    """`times` samples for each; between two of one recording by linear interpolation (floor), the last one held."""
-    here = pcm.astype(np.int32)
-    after = np.empty_like(here)
-    after[:-1] = here[1:]
-    ends = np.cumsum(lengths)[lengths > 0] - 1
-    after[ends] = here[ends]
-    out = np.empty((len(here), times), np.int16)
-    for k in range(times):
-        out[:, k] = here + (after - here) * k // times
-    return out.reshape(-1)
+def resample(pcm: np.ndarray, lengths: np.ndarray, rate: int, to: int) -> tuple[np.ndarray, np.ndarray]:
+    """The recordings at another rate, and their lengths (rounded up). Between two samples of a recording by linear interpolation
+    (floor), in integers; its last sample is held."""
+    count = -(-lengths * to // rate)
+    starts, ends = np.cumsum(lengths) - lengths, np.cumsum(lengths) - 1
+    step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    at, part = np.divmod(step * rate, to)
+    here = np.repeat(starts, count) + at
+    after = np.minimum(here + 1, np.repeat(ends, count))
+    wide = pcm.astype(np.int64)
+    return (wide[here] + (wide[after] - wide[here]) * part // to).astype(np.int16), count
 
 
 def features(pcm: np.ndarray, lengths: np.ndarray) -> list[str]:
@@ -161,62 +162,75 @@ def codec_of(payload: bytes) -> int:
     return (MULAW, ALAW, ADPCM)[zlib.crc32(payload) % 3]
 
 
-def store_media(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, media: each text's payload in a WAVE file, written to a table in the shared folder."""
+def _decoded(media: list[bytes], to: int) -> Iterator[tuple[int, list[int], np.ndarray, np.ndarray]]:
+    """By codec and rate: positions, PCM at the rate `to`, and its lengths."""
+    read = [read_wav(m) for m in media]
+    for codec, rate in sorted({r[:2] for r in read}):
+        at = [k for k, r in enumerate(read) if r[:2] == (codec, rate)]
+        yield codec, at, *resample(*decode([read[k][2] for k in at], codec), rate, to)
+
+
+def _pcm_columns(media: list[bytes | None], to: int) -> tuple[list[str | None], list[bytes | None]]:
+    """Codec and resampled PCM (int16, little-endian) of each recording; null: null."""
+    codecs: list[str | None] = [None] * len(media)
+    out: list[bytes | None] = [None] * len(media)
+    have = [k for k, m in enumerate(media) if m is not None]
+    for codec, at, pcm, lengths in _decoded([media[k] for k in have], to):
+        data, ends = pcm.astype("<i2"), np.cumsum(lengths)
+        for j, k in enumerate(at):
+            codecs[have[k]] = NAMES[codec]
+            out[have[k]] = data[ends[j] - lengths[j] : ends[j]].tobytes()
+    return codecs, out
+
+
+def store_media(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: int = PCM_RATE) -> DataFrame:
+    """doc_id, n_bytes, media, codec, pcm: each text's payload in a WAVE file and that recording's PCM at `rate`, written to a table
+    in the shared folder."""
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = batch.column(1).to_pylist()
             payloads = [text_payload(t) for t in texts]
             n = [len(t) if t.isascii() else len(t.encode("utf-8", "surrogatepass")) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array([wav(p, codec_of(p)) for p in payloads], pa.binary())], ["doc_id", "n_bytes", "media"])
-
-    return stored(spark, doc_rows(docs, id_col, text_col).mapInArrow(put, "doc_id long, n_bytes long, media binary"), "media")
+            media = [wav(p, codec_of(p)) for p in payloads]
+            codecs, pcm = _pcm_columns(media, rate)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(media, pa.binary()), pa.array(codecs, pa.string()), pa.array(pcm, pa.binary())], ["doc_id", "n_bytes", "media", "codec", "pcm"])
 
-
-def _batch_pcm(media: list[bytes], times: int) -> Iterator[tuple[int, list[int], list[bytes], np.ndarray, np.ndarray]]:
-    """By codec: positions, payloads, resampled PCM and its lengths."""
-    read = [read_wav(m) for m in media]
-    for codec in sorted({r[0] for r in read}):
-        at = [k for k, r in enumerate(read) if r[0] == codec]
-        payloads = [read[k][2] for k in at]
-        pcm, lengths = decode(payloads, codec)
-        yield codec, at, payloads, resample(pcm, lengths, times), lengths * times
+    return stored(spark, doc_rows(docs, id_col, text_col).mapInArrow(put, "doc_id long, n_bytes long, media binary, codec string, pcm binary"), "media")
 
 
-def resampled_pcm(media: DataFrame, *, times: int = 2) -> DataFrame:
+def resampled_pcm(media: DataFrame, *, rate: int = PCM_RATE) -> DataFrame:
     """doc_id, codec, pcm (int16, little-endian) of a table with doc_id and media; null media: null codec and pcm."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            ids, data = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            codecs: list[str | None] = [None] * len(ids)
-            out: list[bytes | None] = [None] * len(ids)
-            have = [k for k, m in enumerate(data) if m is not None]
-            for codec, at, _, pcm, lengths in _batch_pcm([data[k] for k in have], times):
-                ends = np.cumsum(lengths)
-                for j, k in enumerate(at):
-                    codecs[have[k]] = NAMES[codec]
-                    out[have[k]] = pcm[ends[j] - lengths[j] : ends[j]].astype("<i2").tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(codecs, pa.string()), pa.array(out, pa.binary())], ["doc_id", "codec", "pcm"])
+            codecs, pcm = _pcm_columns(batch.column(1).to_pylist(), rate)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codecs, pa.string()), pa.array(pcm, pa.binary())], ["doc_id", "codec", "pcm"])
 
     return media.select("doc_id", "media").mapInArrow(run, "doc_id long, codec string, pcm binary")
 
 
-def media_digest(media: DataFrame, *, times: int = 2) -> DataFrame:
-    """What the stored bytes hold and sound like: one row per row of store_media's table."""
+def media_digest(media: DataFrame) -> DataFrame:
+    """What the stored bytes hold and sound like: one row per row of store_media's table. Payload and container are read from
+    media, the features from the stored PCM. Null media: null results."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            data = batch.column(1).to_pylist()
-            rows: list[tuple] = [()] * len(data)
-            for codec, at, payloads, pcm, lengths in _batch_pcm(data, times):
-                for k, payload, text in zip(at, payloads, features(pcm, lengths), strict=True):
-                    rows[k] = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data[k]), hashlib.sha256(data[k]).hexdigest(), f"codec={NAMES[codec]};{text}")
-            n, sha, tail, size, media_sha, feature = zip(*rows, strict=True)
+            data, codecs, sound = (batch.column(k).to_pylist() for k in (1, 3, 4))
+            rows: list[tuple] = [(None,) * 6] * len(data)
+            have = [k for k, (m, p) in enumerate(zip(data, sound, strict=True)) if m is not None and p]
+            pcm = np.frombuffer(b"".join([sound[k] for k in have]), "<i2")
+            told = features(pcm, np.array([len(sound[k]) // 2 for k in have], np.int64)) if have else []
+            feature = dict(zip(have, told, strict=True))
+            for k, m in enumerate(data):
+                if m is not None:
+                    payload = read_wav(m)[2]
+                    text = f"codec={codecs[k]};{feature[k]}" if k in feature else None
+                    rows[k] = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(m), hashlib.sha256(m).hexdigest(), text)
+            n, sha, tail, size, media_sha, told = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(sha), pa.array(tail, pa.int64()), pa.array(size, pa.int64()), pa.array(media_sha), pa.array(feature)],
+                [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(tail, pa.int64()), pa.array(size, pa.int64()), pa.array(media_sha, pa.string()), pa.array(told, pa.string())],
                 ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
             )
 
-    return media.select("doc_id", "media", "n_bytes").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.select("doc_id", "media", "n_bytes", "codec", "pcm").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
