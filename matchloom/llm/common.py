@@ -8,16 +8,18 @@ alone. A task that runs again therefore replaces its own file and nothing else.
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matchloom.sources import scratch as scratch_folders
+
 #: Characters that separate words: space, and U+0009 to U+000D.
 WORD_GAP = "\t\n\x0b\x0c\r "
 
@@ -26,15 +28,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-_LOCAL_ROOTS: dict[str, str] = {}
-
-
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where the session names none (tests), a local one is made."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        app = spark.sparkContext.applicationId
-        root = _LOCAL_ROOTS[app] = _LOCAL_ROOTS.get(app) or "file://" + tempfile.mkdtemp(prefix="matchloom-")
+    """The folder that driver and executors share (scratch.root), as a URI."""
+    root = scratch_folders.root(spark)
     return root if "://" in root or root.startswith("file:") else "file://" + os.path.abspath(root)
 
 
@@ -62,12 +58,17 @@ def stored(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Has Arrow batches of at most `rows` rows from here on: the default of 10,000 is tens of MB of whole texts, in the JVM's
-    direct memory and in the Python worker at once."""
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 512) -> Iterator[None]:
+    """Plans that are run inside have Arrow batches of at most `rows` rows: the default of 10,000 is tens of MB of whole texts, in
+    the JVM's direct memory and in the Python worker at once. The session's own setting is back afterwards."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > rows:
-        spark.conf.set(key, str(rows))
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(min(rows, int(before or 10_000) or rows)))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 def opened(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -106,6 +107,19 @@ def doc_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+def row_key(id_col: str, text_col: str) -> list[Column]:
+    """Two columns, ka and kb: 128 bits that name a row by its id and text. Rows that share them are equal in both."""
+    return [F.xxhash64(F.col(f"`{id_col}`")).alias("ka"), F.xxhash64(F.col(f"`{text_col}`"), F.col(f"`{id_col}`"), F.lit(1)).alias("kb")]
+
+
+def parts_for(spark: SparkSession, amount: int, most: int, most_parts: int = 1 << 16) -> tuple[int, int]:
+    """(partitions, pieces of each) so that a piece has about `most` of the amount: both grow with the input, and a task holds a
+    piece at a time."""
+    pieces = -(-amount // most)
+    parts = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-pieces // 8)), most_parts)
+    return parts, max(4, -(-pieces // parts))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that none holds much over `most` bytes of the given text column."""
     for batch in batches:

@@ -18,13 +18,17 @@ its saturation can lose a pair; they cost candidates.
 4.  Of a cluster in several blocks, the classes that the hubs did not join to its main component are compared with every
     block of it.
 
+Shingles are 64-bit hashes. Classes, and the rows that texts are fetched by, have names of 128 bits; once known, a class goes by
+the number of its row in the table of classes, so two classes are never taken for one. Lists are dealt out to as many tasks
+and pieces as their counted entries ask for.
+
 Nothing is capped: a pair is left out only if it fails a filter that no true pair fails, or if its two documents are in one
 component already. Nothing that grows with the documents is collected.
 
 Cases: null or empty text and text without words: no shingles, a component of its own. Fewer than ``words`` words: the whole
 sequence is the one shingle. Null doc_id: joins like any other; it is never a component's id unless the component has no
-other (then null). Repeated rows and equal texts: one class. Empty table: no rows. Other columns: ignored by
-jaccard_components, kept by one_of_each.
+other (then null). Repeated rows and equal texts: one class. Very long texts: a set of any size is compared like others.
+Empty table: no rows. Other columns: ignored by jaccard_components, kept by one_of_each.
 """
 
 from __future__ import annotations
@@ -37,13 +41,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import slices, stored, unused
+from matchloom.llm.common import parts_for, row_key, slices, stored, unused
 from matchloom.llm.words import Words, mixed
 
 ROW_BITS, RANGES = 23, 64
 SEEDS = tuple(np.uint64(s) for s in (0x243F6A8885A308D3, 0x13198A2E03707344))  # one order each
-HEAD = np.dtype([("node", "<i8"), ("n", "<u4"), ("count", "<u4")])
-SUBS = 4
+CLASS = np.dtype([("c1", "<i8"), ("c2", "<i8")])
+HEAD = np.dtype([("node", CLASS), ("n", "<u4"), ("count", "<u4")])
 
 
 class Sets:
@@ -53,6 +57,7 @@ class Sets:
         w = Words.of(column, lower=True)
         hashes = w.hashes()
         at, codes = w.windows(words, hashes)
+        again = w.windows(words, hashes, 1)[1]  # another hash of the same shingles, for the classes' names
         text = w.text_of[at]
         for few in range(1, words):  # a short text is one shingle; its length keeps it apart from longer ones
             short = np.nonzero(w.counts == few)[0]
@@ -60,15 +65,16 @@ class Sets:
                 one, code = w.windows(few, hashes)
                 chosen = np.searchsorted(one, w.first[short])
                 text, codes = np.concatenate([text, short]), np.concatenate([codes, mixed(code[chosen] + np.uint64(few))])
+                again = np.concatenate([again, mixed(w.windows(few, hashes, 1)[1][chosen] + np.uint64(few))])
         order = np.argsort(codes)
         order = order[np.argsort(text[order].astype(np.uint16 if len(column) < 1 << 16 else np.int64), kind="stable")]
-        codes, text = codes[order], text[order]
+        codes, text, again = codes[order], text[order], again[order]
         fresh = np.ones(len(codes), bool)
         fresh[1:] = (codes[1:] != codes[:-1]) | (text[1:] != text[:-1])
         self.codes, self.text = codes[fresh], text[fresh]
         self.n = np.bincount(self.text, minlength=len(column))
         self.first = np.concatenate([[0], np.cumsum(self.n)])
-        self.c1, self.c2 = self._sums(mixed(self.codes ^ np.uint64(0xA5A5))), self._sums(mixed(self.codes + np.uint64(0x5DEECE66D)))
+        self.c1, self.c2 = self._sums(mixed(self.codes ^ np.uint64(0xA5A5))), self._sums(mixed(again[fresh] + np.uint64(0x5DEECE66D)))
 
     def _sums(self, values: np.ndarray) -> np.ndarray:
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)])
@@ -103,8 +109,9 @@ def prefixes(sets: Sets, which: np.ndarray, order: int, sketch: np.ndarray, perc
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), text.alias("text"), F.col(id_col).cast("long").alias("doc_id"))
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    ka, kb = row_key(id_col, text_col)
+    return docs.select(ka, text.alias("text"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), kb)
 
 
 def _classes(words: int):
@@ -116,12 +123,12 @@ def _classes(words: int):
                 places, n = np.unique((mixed(s.codes ^ seed) & np.uint64((1 << ROW_BITS) - 1)).astype(np.uint32), return_counts=True)
                 counts[k, places] = np.minimum(counts[k, places].astype(np.int64) + n, 255)
             blank = pa.nulls(len(s.n), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(s.n, pa.int64()), pa.array(s.c1), pa.array(s.c2), blank, pa.nulls(len(s.n), pa.binary())], ["row", "doc_id", "n", "c1", "c2", "range", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), batch.column(2), pa.array(s.n, pa.int64()), pa.array(s.c1), pa.array(s.c2), blank, pa.nulls(len(s.n), pa.binary())], ["ka", "kb", "doc_id", "n", "c1", "c2", "range", "counts"])
         pieces = counts.reshape(len(SEEDS), RANGES, -1)
         for r in range(RANGES):
             if pieces[:, r].any():
                 none = pa.nulls(1, pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, none, none, none, pa.array([r], pa.int32()), pa.array([zlib.compress(pieces[:, r].tobytes(), 1)], pa.binary())], ["row", "doc_id", "n", "c1", "c2", "range", "counts"])
+                yield pa.RecordBatch.from_arrays([none, none, none, none, none, none, pa.array([r], pa.int32()), pa.array([zlib.compress(pieces[:, r].tobytes(), 1)], pa.binary())], ["ka", "kb", "doc_id", "n", "c1", "c2", "range", "counts"])
 
     return scan
 
@@ -151,9 +158,20 @@ def _sketch(scanned: DataFrame) -> np.ndarray:
 LONG = np.uint32(1 << 31)  # set in a head's n where the shingle's list is long already
 
 
-def _joined(code: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(a name, node) that join all nodes which lists (equal codes) connect: one row per node."""
-    names, member = np.unique(node, return_inverse=True)
+def _members(node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct classes in order, and the number of each entry's class among them."""
+    order = np.lexsort((node["c2"], node["c1"]))
+    by = node[order]
+    fresh = np.ones(len(by), bool)
+    fresh[1:] = (by["c1"][1:] != by["c1"][:-1]) | (by["c2"][1:] != by["c2"][:-1])
+    member = np.empty(len(by), np.int64)
+    member[order] = np.cumsum(fresh) - 1
+    return by[fresh], member
+
+
+def _joined(code: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a member that stands for all, member) of all members which lists (equal codes) connect: one row per member."""
+    names, member = np.unique(member, return_inverse=True)
     order = np.argsort(code, kind="stable")
     member, code = member[order], code[order]
     first = np.nonzero(np.append(True, code[1:] != code[:-1]))[0] if len(code) else np.empty(0, np.int64)
@@ -169,7 +187,7 @@ def _joined(code: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return names[label], names
 
 
-def _dealer(n_parts: int, words: int, percent: int, sketch, most: int, short: int):
+def _dealer(n_parts: int, subs: int, words: int, percent: int, sketch, most: int, short: int):
     def send(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         node, n, code = (np.concatenate(x) for x in zip(*held, strict=True))
         # a shingle that many classes have here already: they are joined here, and one of them goes on for all
@@ -179,25 +197,27 @@ def _dealer(n_parts: int, words: int, percent: int, sketch, most: int, short: in
         many = np.zeros(len(code), bool)
         many[order] = np.repeat(size > short, size)
         if many.any():
-            names, nodes = _joined(code[many], node[many])
+            known, member = _members(node[many])
+            names, nodes = (known[x] for x in _joined(code[many], member))
             for i in range(0, len(nodes), 1 << 16):
-                yield _sent([((i >> 16) % n_parts, SUBS, names[i : i + (1 << 16)].tobytes(), nodes[i : i + (1 << 16)].tobytes())])
+                yield _sent([((i >> 16) % n_parts, subs, names[i : i + (1 << 16)].tobytes(), nodes[i : i + (1 << 16)].tobytes())])
             ahead = order[first[size > short]]
             n[ahead] |= LONG
             many[ahead] = False
             node, n, code = node[~many], n[~many], code[~many]
-        slot = (code % np.uint64(n_parts * SUBS)).astype(np.int64)
+        slot = (code % np.uint64(n_parts * subs)).astype(np.int64)
         order = np.argsort(slot, kind="stable")
         node, n, code, slot = node[order], n[order], code[order], slot[order]
-        bounds = np.searchsorted(slot, np.arange(n_parts * SUBS + 1))
+        bounds = np.nonzero(np.append(True, slot[1:] != slot[:-1]))[0].tolist() if len(slot) else []
         rows = []
-        for k in np.nonzero(np.diff(bounds))[0].tolist():
-            a, b = bounds[k], bounds[k + 1]
-            first = np.nonzero(np.append(True, (node[a + 1 : b] != node[a : b - 1]) | (n[a + 1 : b] != n[a : b - 1])))[0]
+        for a, b in zip(bounds, [*bounds[1:], len(slot)], strict=True):
+            k = int(slot[a])
+            other = (node["c1"][a + 1 : b] != node["c1"][a : b - 1]) | (node["c2"][a + 1 : b] != node["c2"][a : b - 1])
+            first = np.nonzero(np.append(True, other | (n[a + 1 : b] != n[a : b - 1])))[0]
             heads = np.empty(len(first), HEAD)
             heads["node"], heads["n"], heads["count"] = node[a:b][first], n[a:b][first], np.diff(np.append(first, b - a))
             tails = np.ascontiguousarray((code[a:b] >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-            rows.append((k // SUBS, k % SUBS, heads.tobytes(), tails))
+            rows.append((k // subs, k % subs, heads.tobytes(), tails))
             if len(rows) >= 256:
                 yield _sent(rows)
                 rows = []
@@ -214,7 +234,9 @@ def _dealer(n_parts: int, words: int, percent: int, sketch, most: int, short: in
                     seen.add(c)
                     fresh.append(k)
             text, codes = prefixes(s, np.array(fresh, np.int64), 0, sketch.value, percent)
-            held.append((s.c1[text], s.n[text].astype(np.uint32), mixed(codes)))
+            node = np.empty(len(text), CLASS)
+            node["c1"], node["c2"] = s.c1[text], s.c2[text]
+            held.append((node, s.n[text].astype(np.uint32), mixed(codes)))
             size += len(codes)
             if size >= most:
                 yield from send(held)
@@ -230,28 +252,26 @@ def _sent(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["part", "sub", "heads", "tails"])
 
 
-def _listed(names: np.ndarray | None, a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
-    null = pa.nulls(len(a), pa.int64())
-    return pa.RecordBatch.from_arrays([null if names is None else pa.array(names), pa.array(a), null if b is None else pa.array(b)], ["list", "a", "b"])
+def _listed(joined: bool, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(a), 1 << 16):
+        x, y = a[i : i + (1 << 16)], b[i : i + (1 << 16)]
+        columns = [pa.array(np.full(len(x), joined)), *(pa.array(np.ascontiguousarray(c)) for c in (x["c1"], x["c2"], y["c1"], y["c2"]))]
+        yield pa.RecordBatch.from_arrays(columns, ["joined", "a1", "a2", "b1", "b2"])
 
 
-def _lister(percent: int, short: int):
-    """Classes that share a prefix shingle: (a, b) of the pairs of short lists; for long ones (list, a), where all classes that
-    the long lists of a task's piece connect have one name."""
-    return lambda batches: _lists(batches, percent, short)
+def _lister(percent: int, short: int, subs: int):
+    """Classes (a, b) that share a prefix shingle: the pairs of short lists; for long ones (joined) each class with one that
+    stands for all that the long lists of a task's piece connect."""
+    return lambda batches: _lists(batches, percent, short, subs)
 
 
-def _lists(batches: Iterator[pa.RecordBatch], percent: int, short: int) -> Iterator[pa.RecordBatch]:
+def _lists(batches: Iterator[pa.RecordBatch], percent: int, short: int, joined_sub: int) -> Iterator[pa.RecordBatch]:
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     sub = -1
 
-    def rows(names: np.ndarray | None, a: np.ndarray, b: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-        for i in range(0, len(a), 1 << 16):
-            cut = slice(i, i + (1 << 16))
-            yield _listed(None if names is None else names[cut], a[cut], None if b is None else b[cut])
-
     def close() -> Iterator[pa.RecordBatch]:
-        node, n, code = (np.concatenate(x) for x in zip(*held, strict=True))
+        classes, n, code = (np.concatenate(x) for x in zip(*held, strict=True))
+        classes, node = _members(classes)
         order = np.lexsort((node, code))
         node, n, code = node[order], n[order], code[order]
         first = np.nonzero(np.append(True, code[1:] != code[:-1]))[0]
@@ -263,22 +283,19 @@ def _lists(batches: Iterator[pa.RecordBatch], percent: int, short: int) -> Itera
         first = np.nonzero(np.append(True, code[1:] != code[:-1]))[0]
         size = np.diff(np.append(first, len(code)))
         long |= size > short
-        # short lists as pairs, of which each has a bounded number; equal lists once
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(node.view(np.uint64)), dtype=np.uint64)])
-        name = mixed(sums[first + size] - sums[first] + size.astype(np.uint64))
+        # short lists as pairs, of which each has a bounded number
         chosen = np.nonzero((size > 1) & ~long)[0]
-        chosen = chosen[np.unique(name[chosen], return_index=True)[1]]
-        pairs = [np.empty((2, 0), np.int64)]
+        pairs = [np.empty(0, np.int64)]
         for k in np.unique(size[chosen]).tolist():
-            at = first[chosen[size[chosen] == k]]
-            x, y = (at[:, None] + i for i in np.triu_indices(k, 1))
-            fit = 100 * np.minimum(n[x], n[y]).astype(np.int64) >= percent * np.maximum(n[x], n[y]).astype(np.int64)
-            pairs.append(np.stack([node[x[fit]], node[y[fit]]]))
-        pairs = np.unique(np.concatenate(pairs, axis=1), axis=1)
-        yield from rows(None, pairs[0], pairs[1])
+            for i, j in zip(*np.triu_indices(k, 1), strict=True):
+                x, y = first[chosen[size[chosen] == k]] + i, first[chosen[size[chosen] == k]] + j
+                fit = 100 * np.minimum(n[x], n[y]).astype(np.int64) >= percent * np.maximum(n[x], n[y]).astype(np.int64)
+                pairs.append(np.unique(node[x[fit]] * len(classes) + node[y[fit]]))
+        both = np.unique(np.concatenate(pairs))
+        yield from _listed(False, classes[both // len(classes)], classes[both % len(classes)])
         in_long = np.repeat(long, size)
         names, nodes = _joined(code[in_long], node[in_long])
-        yield from rows(names, nodes, None)
+        yield from _listed(True, classes[names], classes[nodes])
 
     for batch in batches:
         subs = batch.column(1).to_pylist()
@@ -288,8 +305,8 @@ def _lists(batches: Iterator[pa.RecordBatch], percent: int, short: int) -> Itera
                     yield from close()
                 held, sub = [], subs[k]
             heads, tails = batch.column(2)[k].as_py(), batch.column(3)[k].as_py()
-            if subs[k] == SUBS:  # joined in the scan
-                yield from rows(np.frombuffer(heads, np.int64), np.frombuffer(tails, np.int64), None)
+            if subs[k] == joined_sub:  # joined in the scan
+                yield from _listed(True, np.frombuffer(heads, CLASS), np.frombuffer(tails, CLASS))
                 continue
             head = np.frombuffer(heads, HEAD)
             code = np.zeros((len(tails) // 6, 8), np.uint8)
@@ -396,10 +413,10 @@ def _resolver(words: int, sketch, percent: int):
             found = linked(sets, np.array(comps, np.int64), np.array(roles, np.int64), sketch.value, percent) if len(sets) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([names[a] for a, _ in found], pa.int64()), pa.array([names[b] for _, b in found], pa.int64())], ["a", "b"])
 
-        for batch in slices(batches):  # key, text, c1, c2, comp, role; the rows come sorted by key
+        for batch in slices(batches):  # key, text, c1, c2, node, comp, role; the rows come sorted by key
             s = Sets(batch.column(1), words)
             same = (s.c1 == batch.column(2).to_numpy()) & (s.c2 == batch.column(3).to_numpy())
-            rows = zip(batch.column(0).to_pylist(), s.c1.tolist(), batch.column(4).to_pylist(), batch.column(5).to_pylist(), same.tolist(), strict=True)
+            rows = zip(batch.column(0).to_pylist(), *(batch.column(k).to_pylist() for k in (4, 5, 6)), same.tolist(), strict=True)
             for i, (this, node, comp, role, fits) in enumerate(rows):
                 if this != key:
                     if len(sets) > 1:
@@ -443,86 +460,91 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
 
 
 def _met(rows: DataFrame, placed: DataFrame, words: int, sketch, percent: int) -> DataFrame:
-    """Links found where the texts of placed (row, c1, c2, comp, role, key) meet by key."""
-    texts = rows.select("row", "text").join(placed, "row").select("key", "text", "c1", "c2", "comp", "role")
+    """Links found where the texts of placed (ka, kb, c1, c2, node, comp, role, key) meet by key. A text that a row's key fetches
+    though it isn't the row's own has another class, and is passed over."""
+    texts = rows.select("ka", "kb", "text").join(placed, ["ka", "kb"]).select("key", "text", "c1", "c2", "node", "comp", "role")
     texts = texts.repartition(F.col("key")).sortWithinPartitions("key")
     return texts.mapInArrow(_resolver(words, sketch, percent), "a long, b long")
 
 
 def _cluster_links(spark: SparkSession, rows: DataFrame, classes: DataFrame, clusters: DataFrame, pairs: DataFrame, words: int, sketch, percent: int, block_tokens: int, hubs: int = 32) -> DataFrame:
-    members = classes.select("row", "c1", "c2", "n").join(clusters.withColumnRenamed("node", "c1"), "c1").withColumnRenamed("comp", "cluster")
+    named = ["ka", "kb", "c1", "c2", "node"]
+    members = classes.select(*named, "n").join(clusters, "node").withColumnRenamed("comp", "cluster")
     members = stored(spark, members, "members")
     sizes = members.groupBy("cluster").agg(F.count("*").alias("k"), F.ceil(F.sum("n") / block_tokens).alias("blocks"))
-    members = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("c1"), F.col("blocks")))
+    members = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     members = stored(spark, members, "members")
-    hub = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("c1", F.lit(1)), F.col("k")) < hubs)
+    hub = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("node", F.lit(1)), F.col("k")) < hubs)
     blocks = F.when(hub, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("block"))
-    placed = members.select("row", "c1", "c2", F.col("c1").alias("comp"), F.lit(ASKED).alias("role"), "cluster", F.explode(blocks).alias("to"))
-    placed = placed.select("row", "c1", "c2", "comp", "role", F.xxhash64("cluster", "to").alias("key"))
+    placed = members.select(*named, F.col("node").alias("comp"), F.lit(ASKED).alias("role"), "cluster", F.explode(blocks).alias("to"))
+    placed = placed.select(*named, "comp", "role", F.xxhash64("cluster", "to").alias("key"))
     # pairs of short lists, unless both meet in a cluster's only block; the first of a pair asks
-    near = members.where("blocks = 1").select("c1", "cluster")
+    near = members.where("blocks = 1").select("node", "cluster")
     apart = pairs.join(near.toDF("a", "ca"), "a", "left").join(near.toDF("b", "cb"), "b", "left").where("ca is null or cb is null or ca <> cb").select("a", "b")
-    of = classes.select("row", "c1", "c2")
-    ends = apart.select(F.col("a").alias("c1"), F.lit(ASKED).alias("role"), "a").distinct().unionByName(apart.select(F.col("b").alias("c1"), F.lit(THERE).alias("role"), "a"))
-    ends = ends.join(of, "c1").select("row", "c1", "c2", F.col("c1").alias("comp"), "role", F.xxhash64("a").alias("key"))
+    ends = apart.select(F.col("a").alias("node"), F.lit(ASKED).alias("role"), "a").distinct().unionByName(apart.select(F.col("b").alias("node"), F.lit(THERE).alias("role"), "a"))
+    ends = ends.join(classes.select(*named), "node").select(*named, F.col("node").alias("comp"), "role", F.xxhash64("a").alias("key"))
     placed = placed.unionByName(ends)
     links = stored(spark, _met(rows, stored(spark, placed, "placed"), words, sketch, percent), "links")
 
     large = stored(spark, members.where("blocks > 1"), "large")
     if large.isEmpty():
         return links
-    comps = components(spark, links).withColumnRenamed("node", "c1")
-    large = large.join(comps, "c1", "left").withColumn("comp", F.coalesce("comp", "c1"))
+    large = large.join(components(spark, links), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     counts = large.groupBy("cluster", "comp").agg(F.count("*").alias("k"))
     main = counts.groupBy("cluster").agg(F.max(F.struct("k", "comp")).getField("comp").alias("main"))
     large = stored(spark, large.join(main, "cluster").withColumn("out", F.col("comp") != F.col("main")), "large")
     outer = large.where("out").groupBy("cluster").agg(F.ceil(F.sum("n") / block_tokens).alias("outers"))
     large = large.join(outer, "cluster")
-    columns = ["row", "c1", "c2", "comp"]
+    columns = [*named, "comp"]
     key = lambda u, j: F.xxhash64("cluster", u, j).alias("key")
     upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
-    asked = large.where("out").withColumn("u", F.pmod(F.xxhash64("c1", F.lit(2)), F.col("outers"))).select(*columns, F.lit(ASKED).alias("role"), "cluster", "u", upto("blocks").alias("j"))
+    asked = large.where("out").withColumn("u", F.pmod(F.xxhash64("node", F.lit(2)), F.col("outers"))).select(*columns, F.lit(ASKED).alias("role"), "cluster", "u", upto("blocks").alias("j"))
     there = large.select(*columns, F.when(F.col("out"), THERE).otherwise(MAIN).alias("role"), "cluster", upto("outers").alias("u"), F.col("block").alias("j"))
     placed = asked.unionByName(there).select(*columns, "role", key("u", "j"))
     return links.unionByName(stored(spark, _met(rows, stored(spark, placed, "placed"), words, sketch, percent), "links"))
 
 
-def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", most_postings: int = 1 << 20, block_tokens: int = 1 << 20, short_list: int = 32) -> DataFrame:
-    """row, doc_id, n_shingles, component_id (least doc_id reachable by links of at least `percent`), component (a key that
-    it has even where no doc_id is) of every row of docs."""
+def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", most_postings: int = 1 << 20, block_tokens: int = 1 << 20, short_list: int = 32, piece_postings: int = 1 << 19) -> DataFrame:
+    """ka, kb (row_key), doc_id, n_shingles, component_id (least doc_id reachable by links of at least `percent`), component (a
+    number that it has even where no doc_id is; null for a document without shingles) of every row of docs."""
     spark = docs.sparkSession
     rows = _rows(docs, id_col, text_col)
-    scanned = stored(spark, rows.select("row", "text", "doc_id").mapInArrow(_classes(words), "row long, doc_id long, n long, c1 long, c2 long, range int, counts binary"), "shingle-classes")
+    scanned = stored(spark, rows.mapInArrow(_classes(words), "ka long, kb long, doc_id long, n long, c1 long, c2 long, range int, counts binary"), "shingle-classes")
     sketch = spark.sparkContext.broadcast(_sketch(scanned))
-    of_docs = scanned.where("row is not null").select("row", "doc_id", "n", "c1", "c2")
-
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sent = rows.select("row", "text").mapInArrow(_dealer(n_parts, words, percent, sketch, most_postings, short_list), "part int, sub int, heads binary, tails binary")
+    of_docs = scanned.where("n is not null").select("ka", "kb", "doc_id", "n", "c1", "c2")
+    classes = of_docs.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("least"), F.min(F.struct("ka", "kb")).alias("row"), F.min("n").alias("n"))
+    # the numbers are written with the classes, so they are the same whenever they are read
+    classes = stored(spark, classes.select("c1", "c2", "least", "row.ka", "row.kb", "n", F.monotonically_increasing_id().alias("node")), "classes")
+
+    entries = of_docs.where("n > 1").agg(F.coalesce(F.sum(F.expr(f"n - (({percent} * n + 99) div 100) + 1")), F.lit(0))).first()[0]
+    n_parts, subs = parts_for(spark, entries, piece_postings)
+    sent = rows.select("ka", "text").mapInArrow(_dealer(n_parts, subs, words, percent, sketch, most_postings, short_list), "part int, sub int, heads binary, tails binary")
     sent = sent.repartitionById(n_parts, F.col("part")).sortWithinPartitions("sub")
-    found = sent.mapInArrow(_lister(percent, short_list), "list long, a long, b long")
-    found = stored(spark, found.distinct(), "lists")
-    lists, pairs = found.where("b is null").select("list", F.col("a").alias("node")), found.where("b is not null").select("a", "b")
-
-    classes = stored(spark, of_docs.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), F.min("n").alias("n")), "classes")
-    least = lists.groupBy("list").agg(F.min("node").alias("b"))
-    clusters = components(spark, lists.join(least, "list").select(F.col("node").alias("a"), "b"))
-    links = _cluster_links(spark, rows, classes, clusters, pairs, words, sketch, percent, block_tokens)
+    found = sent.mapInArrow(_lister(percent, short_list, subs), "joined boolean, a1 long, a2 long, b1 long, b2 long").distinct()
+    end = lambda x: classes.select(F.col("c1").alias(f"{x}1"), F.col("c2").alias(f"{x}2"), F.col("node").alias(x))
+    found = stored(spark, found.join(end("a"), ["a1", "a2"]).join(end("b"), ["b1", "b2"]).select("joined", "a", "b"), "lists")
+
+    lists = found.where("joined").select("a", "b")
+    clusters = components(spark, lists)
+    links = _cluster_links(spark, rows, classes, clusters, found.where("not joined").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), words, sketch, percent, block_tokens)
     comps = components(spark, links)
-    own = classes.select("c1", "c2", "least")
-    own = own.join(comps.withColumnRenamed("node", "c1"), "c1", "left").withColumn("comp", F.coalesce("comp", "c1"))
+    own = classes.select("c1", "c2", "least", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     own = stored(spark, own, "classes")
-    low = own.groupBy("comp").agg(F.min("least").alias("component"))
-    own = own.join(low, "comp").select("c1", "c2", "comp", "component")
+    low = own.groupBy("comp").agg(F.min("least").alias("component_id"))
+    own = own.join(low, "comp").select("c1", "c2", "comp", "component_id")
     out = of_docs.join(own, ["c1", "c2"], "left")
     alone = F.col("n") == 0
-    return out.select("row", "doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), F.when(alone, F.col("row")).otherwise(F.col("comp")).alias("component"))
+    return out.select("ka", "kb", "doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(~alone, F.col("comp")).alias("component"))
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row of docs of each component, with all its columns: that with the least doc_id (and row key)."""
+    """One row of docs of each component, with all its columns: that with the least doc_id (and row key). Documents without
+    shingles are alone and stay; of rows with equal id and text one stays."""
     found = jaccard_components(docs, id_col=id_col, text_col=text_col, **options)
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
-    (key,) = unused(docs, "row")
-    keep = found.groupBy("component").agg(first.getField("row").alias(key)).select(key)
-    keyed = docs.withColumn(key, F.xxhash64(F.col(id_col), F.col(text_col)))
-    return keyed.join(stored(docs.sparkSession, keep, "kept"), key, "left_semi").dropDuplicates([key]).drop(key)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "ka", "kb")).alias("first")
+    a, b = unused(docs, "ka", "kb")
+    alone = found.where("component is null").select(F.col("ka").alias(a), F.col("kb").alias(b))
+    keep = found.where("component is not null").groupBy("component").agg(first).select(F.col("first.ka").alias(a), F.col("first.kb").alias(b))
+    ka, kb = row_key(id_col, text_col)
+    keyed = docs.withColumns({a: ka, b: kb})
+    return keyed.join(stored(docs.sparkSession, keep.unionByName(alone).distinct(), "kept"), [a, b], "left_semi").dropDuplicates([a, b]).drop(a, b)

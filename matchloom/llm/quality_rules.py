@@ -12,7 +12,8 @@ The references are one short row per language. They are taken to the driver only
 ``most_languages`` (16,384 rows of under 1 KB), and raise if there are more.
 
 Cases: null text: no words, base_failed. Null language: a language of its own, named "". Repeated rows get equal results.
-Empty table: no rows. Other columns are ignored by quality_columns, and passed through unread by keep_good.
+Empty table: no rows. Very long texts: time and memory in proportion to the text. Other columns are ignored by
+quality_columns, and passed through unread by keep_good.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchloom.llm.common import slices
-from matchloom.llm.words import GAP, Words, _powers, mixed
+from matchloom.llm.words import GAP, Words
 
 #: Common words of the languages at hand, and the characters that count as symbols.
 COMMON = """
@@ -43,6 +44,7 @@ _CLASS[GAP] = 3
 _CLASS[list(b".,;:!?'\"()-")] = 4
 _CLASS[list(SYMBOLS)] = 5
 _CLASS[128:] = 7
+_GAPS = bytes(np.nonzero(GAP)[0].tolist())
 _SPOKEN = (_CLASS < 3) | (_CLASS == 7)
 
 
@@ -74,11 +76,16 @@ def histograms(words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return chars, np.bincount(words.text_of * N_WORDS + bins, minlength=n * N_WORDS).reshape(n, N_WORDS)
 
 
-def _repeated(keys: np.ndarray) -> np.ndarray:
-    """Which keys occur twice or more."""
-    order = np.argsort(keys, kind="stable")
-    same = keys[order][1:] == keys[order][:-1]
-    out = np.zeros(len(keys), bool)
+def _repeated(keys: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Which rows of keys occur twice or more. Sorted by the first two keys; where rows that share those differ in others (two
+    runs with one hash), by all."""
+    order = np.lexsort((keys[0], keys[1]))
+    alike = [k[order][1:] == k[order][:-1] for k in keys]
+    same = np.logical_and.reduce(alike)
+    if (same != (alike[0] & alike[1])).any():
+        order = np.lexsort(keys)
+        same = np.logical_and.reduce([k[order][1:] == k[order][:-1] for k in keys])
+    out = np.zeros(len(order), bool)
     out[order[1:][same]] = True
     out[order[:-1][same]] = True
     return out
@@ -89,27 +96,16 @@ def base_counts(words: Words, hashes: np.ndarray) -> dict[str, np.ndarray]:
     inside = ~GAP[data]
     symbol = np.zeros(256, bool)
     symbol[list(SYMBOLS)] = True
-    out = {"n_words": words.counts, "word_chars": _per_text(words, inside & ((data & 0xC0) != 0x80)), "n_symbols": _per_text(words, symbol[data])}
-
-    # lines: they end at a line feed or at the text's end
-    stops = np.nonzero(data == 10)[0]
-    ends = np.concatenate([stops, words.text_ends])
-    order = np.argsort(ends, kind="stable")
-    begins = np.concatenate([stops + 1, np.concatenate([[0], words.text_ends[:-1]])])
-    text = np.concatenate([np.searchsorted(words.text_ends, stops, side="right"), np.arange(n)])
-    begins = np.sort(begins, kind="stable")
-    ends, text = ends[order], np.sort(text, kind="stable")
-    up, down = _line_sums(data)
-    some = np.concatenate([[0], np.cumsum(inside)])
-    lines = np.nonzero(some[ends] > some[begins])[0]
-    keys = mixed((up[ends[lines]] - up[begins[lines]]) * down[begins[lines]] + (ends - begins)[lines].astype(np.uint64))
-    keys = mixed(keys ^ mixed(text[lines].astype(np.uint64) + np.uint64(1)))
-    order = np.argsort(keys, kind="stable")
-    same = keys[order][1:] == keys[order][:-1]
-    out["n_dup_lines"] = np.bincount(text[lines][order[1:][same]], minlength=n)
+    out = {"n_words": words.counts, "word_chars": _per_text(words, inside & ((data & 0xC0) != 0x80)), "n_symbols": _per_text(words, symbol[data]), "n_dup_lines": np.zeros(n, np.int64)}
 
+    raw, ends = data.tobytes(), words.text_ends.tolist()
+    for k, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
+        lines = [x for x in raw[a:b].split(b"\n") if x.strip(_GAPS)] if 10 in data[a:b] else ()
+        out["n_dup_lines"][k] = len(lines) - len(set(lines))
+
+    # runs of three words within a text, by the words' identities: those that share a hash are compared word by word
     at, runs = words.windows(3, hashes)
-    twice = at[_repeated(mixed(runs ^ mixed(words.text_of[at].astype(np.uint64) + np.uint64(1))))]
+    twice = at[_repeated((runs, words.text_of[at], hashes[at], hashes[at + 1], hashes[at + 2]))]
     marks = np.zeros(len(words.begin) + 1, np.int32)
     np.add.at(marks, twice, 1)
     np.add.at(marks, twice + 3, -1)
@@ -117,14 +113,6 @@ def base_counts(words: Words, hashes: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def _line_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    from matchloom.llm.words import _BASE, _BYTE, _INVERSE
-
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _powers(_BASE, len(data) + 1)[:-1], out=sums[1:])
-    return sums, _powers(_INVERSE, len(data) + 1)
-
-
 def js_distance(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
     """Of each row of counts to its row of reference counts; 0 where either is empty."""
     p = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
@@ -178,7 +166,7 @@ class Rules:
     def judged(self, text: pa.Array, lang: pa.Array) -> dict[str, np.ndarray]:
         words = Words.of(text)
         hashes = words.hashes()
-        out = base_counts(words, hashes)
+        out = base_counts(words, words.identities())
         n = out["n_words"]
         out["base_failed"] = (n < 50) | (100 * out["n_repeat_words"] > 50 * n)
         chars, common = histograms(words, hashes)

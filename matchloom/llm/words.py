@@ -1,23 +1,25 @@
 """Words of many texts at once: numpy over the UTF-8 bytes of a batch.
 
 A word is a run of bytes other than space and U+0009 to U+000D, which is the same in bytes and in code points. A word's
-64-bit hash is a polynomial over a fixed random value per byte, taken from prefix sums, so the cost is a few passes over
-the bytes whatever the words are. Runs of words are hashed from the words' hashes.
+64-bit hash takes its bytes eight at a time, each eight through a full finaliser (xxh3 for the rare word of over 64 bytes),
+so unlike a polynomial it has no two families of words that it can't tell apart. Runs of words are hashed from the words'
+hashes by doubling, again through the finaliser at each step; a second, independent combination gives 128 bits of a run.
+``identities`` goes further for what one batch decides: it compares the words themselves.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 GAP = np.zeros(256, bool)
 GAP[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_BYTE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_LONG = 64  # bytes of a word that are hashed by numpy
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -31,22 +33,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; kept, as batches are alike in size."""
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        size = 1 << max(12, (n - 1).bit_length())
-        have = np.empty(size, np.uint64)
-        have[0] = 1
-        done = 1
-        while done < size:
-            have[done : 2 * done] = have[:done] * np.uint64(pow(base, done, 1 << 64))
-            done *= 2
-        _POWERS[base] = have
-    return have[:n]
+def paired(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
+    """A hash of two hashes, in their order."""
+    return mixed(mixed(a + np.uint64(salt)) * _STEP + b)
 
 
 class Words:
@@ -82,24 +71,74 @@ class Words:
         raw = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]] if data is not None else np.empty(0, np.uint8)
         return cls(_LOWER[raw] if lower else raw, bounds[1:] - bounds[0])
 
-    def hashes(self) -> np.ndarray:
-        n = len(self.data)
-        up, down = _powers(_BASE, n + 1), _powers(_INVERSE, n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[self.data] * up[:n], out=sums[1:])
-        return mixed((sums[self.end] - sums[self.begin]) * down[self.begin])
-
-    def windows(self, size: int, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(first word, hash) of each run of `size` words within one text."""
+    def _eights(self) -> np.ndarray:
+        """The eight bytes that begin at each place of the data, as one number."""
+        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        return np.ndarray((len(self.data) + 1,), "<u8", padded, strides=(1,))
+
+    def _eight(self, eights: np.ndarray, which: np.ndarray, k: int) -> np.ndarray:
+        """Bytes 8k to 8k + 7 of the given words, zeros beyond a word's end."""
+        at = self.begin[which] + 8 * k
+        left = np.clip(self.end[which] - at, 0, 8).astype(np.uint64)
+        keep = np.where(left == 8, ~np.uint64(0), (np.uint64(1) << (left * np.uint64(8) & np.uint64(63))) - np.uint64(1))
+        return eights[np.minimum(at, len(self.data))] & keep
+
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        size = (self.end - self.begin).astype(np.uint64)
+        if not len(size):
+            return size
+        eights = self._eights()
+        out = mixed(self._eight(eights, np.arange(len(size)), 0) + size * _STEP + np.uint64(seed))
+        which, k = np.nonzero((size > 8) & (size <= _LONG))[0], 1
+        while len(which):
+            out[which] = mixed(out[which] * _STEP + self._eight(eights, which, k))
+            k += 1
+            which = which[size[which] > 8 * k]
+        for i in np.nonzero(size > _LONG)[0].tolist():
+            out[i] = xxhash.xxh3_64_intdigest(self.data[self.begin[i] : self.end[i]].tobytes(), seed)
+        return out
+
+    def identities(self) -> np.ndarray:
+        """Numbers that are equal exactly for equal words of the batch: hashes, after the words that share one have been
+        compared. If two words did share one, the next seed is taken."""
+        for seed in range(1 << 10):
+            hashes = self.hashes(seed)
+            order = np.argsort(hashes, kind="stable")
+            same = hashes[order][1:] == hashes[order][:-1]
+            if self._all_equal(order[:-1][same], order[1:][same]):
+                return hashes
+        raise AssertionError("no seed tells the words apart")
+
+    def _all_equal(self, a: np.ndarray, b: np.ndarray) -> bool:
+        size = self.end[a] - self.begin[a]
+        if (size != self.end[b] - self.begin[b]).any():
+            return False
+        eights, k = self._eights(), 0
+        some = np.nonzero(size <= _LONG)[0]
+        while len(some):
+            if (self._eight(eights, a[some], k) != self._eight(eights, b[some], k)).any():
+                return False
+            k += 1
+            some = some[size[some] > 8 * k]
+        return all(bytes(self.data[self.begin[i] : self.end[i]]) == bytes(self.data[self.begin[j] : self.end[j]]) for i, j in zip(a[size > _LONG].tolist(), b[size > _LONG].tolist(), strict=True))
+
+    def windows(self, size: int, hashes: np.ndarray | None = None, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, hash) of each run of `size` words within one text. Another salt: an independent hash of the run."""
         words = self.hashes() if hashes is None else hashes
         n = len(words) - size + 1
         if n <= 0:
             return np.empty(0, np.int64), np.empty(0, np.uint64)
-        up, down = _powers(_BASE, len(words) + 1), _powers(_INVERSE, len(words) + 1)
-        sums = np.zeros(len(words) + 1, np.uint64)
-        np.cumsum(words * up[: len(words)], out=sums[1:])
+        done, out, power, width = 0, None, words, 1  # power: runs of `width` words
+        while True:
+            if size & width:
+                out = power[:n] if out is None else paired(out, power[done : done + n], salt)
+                done += width
+            if done == size:
+                break
+            power = paired(power[:-width], power[width:], salt + width)
+            width *= 2
         at = np.nonzero(self.text_of[:n] == self.text_of[size - 1 :])[0]
-        return at, mixed((sums[at + size] - sums[at]) * down[at])
+        return at, (mixed(out + np.uint64(size + salt)) if size == 1 else out)[at]
 
     def joined(self, k: int, keep: np.ndarray | None = None) -> bytes:
         """Text k's words, or those with keep (by word number), joined by one space."""
