@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom.llm import bpe_stream, html_extract, media_audio, ngram_join, packing, pii, quality_rules, substring_dedup, token_store, warc
-from matchloom.llm.common import table
+from matchloom.llm.common import small_batches, stored, table
 
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,8 @@ def op9_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed_digest(packing.pack_documents(table(spark, sf_dir, "documents")))
+    with small_batches(spark):
+        return stored(spark, packing.packed_digest(packing.pack_documents(table(spark, sf_dir, "documents"))), "pieces")
 
 
 QUERIES = {"op1_token_store": op1_token_store, "op2_bpe_stream": op2_bpe_stream, "op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op4_substring_dedup": op4_substring_dedup, "op5_quality_rules": op5_quality_rules, "op6_html_text": op6_html_text, "op7_telephony_media": op7_telephony_media, "op8_warc_segments": op8_warc_segments, "op9_skip_chain_pii": op9_skip_chain_pii, "op10_packing": op10_packing}

@@ -211,7 +211,6 @@ def write_token_shards(docs: DataFrame, folder: str, *, tokenizer_path: str | No
     """
     path = tokenizer_path or vocabulary("word_bpe_49k.json")
     spark = docs.sparkSession
-    small_batches(spark)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, tokenizer, piece = TaskContext.get().partitionId(), encoder(path), 0
@@ -250,7 +249,8 @@ def write_token_shards(docs: DataFrame, folder: str, *, tokenizer_path: str | No
             yield close_shard()
 
     rows = doc_rows(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    manifest = stored(spark, rows.mapInArrow(write, "path string, part long, piece long, n_docs long, n_tokens long"), "token-manifest")
+    with small_batches(spark):
+        manifest = stored(spark, rows.mapInArrow(write, "path string, part long, piece long, n_docs long, n_tokens long"), "token-manifest")
     before = Window.orderBy("part", "piece").rowsBetween(Window.unboundedPreceding, -1)  # one row for each shard
     return manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
