@@ -82,17 +82,29 @@ ONE_TO = "".join(_LETTERS[c] for c in ONE_FROM)
 #: (character class, letters) of those that several letters stand for.
 SEVERAL = tuple((f"[{''.join(c for c in sorted(_LETTERS) if _LETTERS[c] == x)}]", x) for x in sorted({x for x in _LETTERS.values() if len(x) > 1}))
 
+#: ASCII other than small letters, digits and the space.
+OTHER = "".join(c for c in map(chr, range(128)) if c not in "abcdefghijklmnopqrstuvwxyz0123456789 ")
+
+
+def _is_ascii(c: Column) -> Column:
+    """As many bytes as characters: no pattern has to look at them."""
+    return F.octet_length(c) == F.length(c)
+
 
 def fold(c: Column) -> Column:
     """Letters as ASCII: without marks, and those of other alphabets by sound. What has no letters (ideographs, signs) stays.
 
-    One translation does what one letter stands for; only strings that still aren't ASCII see the rules with several.
+    One translation does what one letter stands for; only words that still aren't ASCII see the rules with several.
     """
     text = F.translate(c, ONE_FROM, ONE_TO)
-    more = text
-    for letters, to in SEVERAL:
-        more = F.regexp_replace(more, letters, to)
-    return F.when(text.rlike(r"[^\x00-\x7F]"), F.regexp_replace(more, r"\p{Mn}+", "")).otherwise(text)
+
+    def word(w: Column) -> Column:
+        more = w
+        for letters, to in SEVERAL:
+            more = F.regexp_replace(more, letters, to)
+        return F.when(_is_ascii(w), w).otherwise(F.regexp_replace(more, r"\p{Mn}+", ""))
+
+    return F.when(_is_ascii(text), text).otherwise(F.array_join(F.transform(F.split(text, " "), word), " "))
 
 
 def ascii_only(c: Column) -> Column:
@@ -118,7 +130,8 @@ def clean_text(c: Column) -> Column:
 
 def clean_lexical(c: Column) -> Column:
     """Fold, lower case, [a-z0-9 ] only, literal rules, a space between letters and digits, single spaces."""
-    text = F.regexp_replace(F.lower(ascii_only(F.coalesce(c, F.lit("")))), r"[^a-z0-9 ]+", " ")
+    text = F.translate(F.lower(ascii_only(F.coalesce(c, F.lit("")))), OTHER, "\x01" * len(OTHER))
+    text = F.regexp_replace(text, "\x01+", " ")  # a run of one character is found several times faster than one of a negated class
     for what, to in LEXICAL_RULES:
         text = F.replace(text, F.lit(what), F.lit(to))
     text = F.regexp_replace(F.regexp_replace(text, r"([a-z])([0-9])", "$1 $2"), r"([0-9])([a-z])", "$1 $2")

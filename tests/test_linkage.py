@@ -1,4 +1,6 @@
 import random
+import re
+import unicodedata
 
 import numpy as np
 import pytest
@@ -30,6 +32,21 @@ def test_lexical_rules_work_inside_words(spark):
     assert one(spark, T.skeleton(F.col("v")), v="acme trading") == "cmtrdng"
 
 
+def test_folding_is_letter_by_letter(spark):
+    rng = random.Random(3)
+    letters = [*T._LETTERS, *map(chr, range(32, 127)), "東", "😀", "\u0301", *" " * 200]
+    texts = ["".join(rng.choices(letters, k=rng.randint(0, 60))) for _ in range(500)]
+    alone = lambda c: T._LETTERS.get(c, "" if unicodedata.category(c) == "Mn" else c)
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.fold(F.col("t")), T.clean_lexical(F.col("t"))).collect()
+    for t, folded, clean in rows:
+        assert folded == "".join(map(alone, t))
+        e = re.sub("[^a-z0-9 ]+", " ", re.sub("[^\x00-\x7f]", " ", folded).lower())
+        for what, to in T.LEXICAL_RULES:
+            e = e.replace(what, to)
+        e = re.sub("([0-9])([a-z])", r"\1 \2", re.sub("([a-z])([0-9])", r"\1 \2", e))
+        assert clean == " ".join(e.split())
+
+
 def test_null_words(spark):
     c = lambda v: one(spark, T.without_null_words(F.col("v")), v=v)
     assert [c(v) for v in (" Hello ", "NaN", "None", None, "NA")] == ["Hello", "", "", "", "NA"]
