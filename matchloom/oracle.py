@@ -69,6 +69,59 @@ def _jaccard(a: str, b: str) -> str:
 
 _GRAM = f"""q AS (SELECT a, b, list_distinct({_grams('a')}) AS x, list_distinct({_grams('b')}) AS y, {_words('a')} AS u, {_words('b')} AS w FROM p),
  j AS (SELECT a, b, round(CASE WHEN length(a) < 3 OR length(b) < 3 THEN len(list_intersect(u, w))::DOUBLE / len(list_distinct(list_concat(u, w))) ELSE {_JACCARD} END, 6) AS value FROM q)"""
+def _edits(windows: bool) -> str:
+    """e: of each pair of names, and of both reversed, the edit-based measures from their definitions; partial needs windows."""
+    lcs = """list_transform(range(0, length(y)::BIGINT + 1), lambda k: greatest(r[k + 1], coalesce(list_max(list_transform(range(1, k + 1),
+      lambda m: CASE WHEN substr(y, m, 1) = substr(x, i + 1, 1) THEN r[m] + 1 ELSE 0 END)), 0)))"""
+    free = """list_filter(range(greatest(1, i + 1 - reach), least(length(y), i + 1 + reach) + 1),
+      lambda k: substr(y, k, 1) = substr(x, i + 1, 1) AND NOT list_contains(taken, k))"""
+    # every window as long as the shorter string, those that overhang the longer one's ends too
+    cut = """, f AS (SELECT a, b, a AS short, b AS long FROM u WHERE length(a) <= length(b) UNION ALL SELECT a, b, b, a FROM u WHERE length(b) <= length(a)),
+ g AS MATERIALIZED (SELECT DISTINCT a, b, short, substr(long, greatest(i, 1), i + length(short) - greatest(i, 1)) AS piece
+       FROM (SELECT *, unnest(range(2 - length(short), length(long) + 1)) AS i FROM f))"""
+    return f"""u AS MATERIALIZED (SELECT a, b FROM p UNION SELECT reverse(a), reverse(b) FROM p),
+ d AS (SELECT a, b, list_sort({_words('a')}) AS sa, list_sort({_words('b')}) AS sb FROM u),
+ h AS (SELECT *, list_sort(list_intersect(sa, sb)) AS common, list_sort(list_distinct(list_filter(sa, lambda t: NOT list_contains(sb, t)))) AS x1,
+       list_sort(list_distinct(list_filter(sb, lambda t: NOT list_contains(sa, t)))) AS y1 FROM d),
+ k AS MATERIALIZED (SELECT a, b, array_to_string(sa, ' ') AS sort_a, array_to_string(sb, ' ') AS sort_b, array_to_string(common, ' ') AS base,
+       array_to_string(list_concat(common, x1), ' ') AS with_a, array_to_string(list_concat(common, y1), ' ') AS with_b,
+       len(sa) = 0 OR len(sb) = 0 AS none, len(common) > 0 AND (len(x1) = 0 OR len(y1) = 0) AS inside FROM h){cut if windows else ''},
+ s AS (SELECT a AS x, b AS y FROM u UNION SELECT sort_a, sort_b FROM k UNION SELECT with_a, with_b FROM k UNION SELECT base, with_a FROM k
+       UNION SELECT base, with_b FROM k{' UNION SELECT short, piece FROM g' if windows else ''}),
+ lc AS (SELECT x, y, 0::BIGINT AS i, list_transform(range(0, length(y)::BIGINT + 1), lambda k: 0::BIGINT) AS r FROM s
+        UNION ALL SELECT x, y, i + 1, {lcs} FROM lc WHERE i < length(x)),
+ w AS MATERIALIZED (SELECT x, y, CASE WHEN x = '' AND y = '' THEN 100.0::DOUBLE ELSE 200.0::DOUBLE * r[-1] / (length(x) + length(y)) END AS ratio FROM lc WHERE i = length(x)),
+ jc AS (SELECT a AS x, b AS y, 0::BIGINT AS i, greatest(greatest(length(a), length(b)) // 2 - 1, 0) AS reach, []::BIGINT[] AS taken, '' AS ours FROM u
+        UNION ALL SELECT x, y, i + 1, reach, CASE WHEN hit IS NULL THEN taken ELSE list_append(taken, hit) END, CASE WHEN hit IS NULL THEN ours ELSE ours || substr(x, i + 1, 1) END
+        FROM (SELECT *, {free}[1] AS hit FROM jc WHERE i < length(x))),
+ js AS (SELECT x, y, len(taken) AS m, len(list_filter(range(1, len(taken) + 1), lambda k: substr(ours, k, 1) <> substr(y, list_sort(taken)[k], 1))) / 2.0::DOUBLE AS swaps,
+        len(list_filter(range(1, 5), lambda k: k <= least(length(x), length(y)) AND substr(x, 1, k) = substr(y, 1, k))) AS start FROM jc WHERE i = length(x)),
+ jw AS (SELECT x, y, start, CASE WHEN m = 0 THEN 0.0 ELSE (m / length(x)::DOUBLE + m / length(y)::DOUBLE + (m - swaps) / m) / 3 END AS jaro FROM js),
+ e AS MATERIALIZED (SELECT k.a, k.b, w1.ratio, w2.ratio AS sort_ratio, jaro + start * 0.1::DOUBLE * (1 - jaro) AS winkler,
+       CASE WHEN none THEN 0.0 WHEN inside THEN 100.0 WHEN base = '' THEN w3.ratio ELSE greatest(w3.ratio, w4.ratio, w5.ratio) END AS set_ratio
+       {", (SELECT max(ratio) FROM g JOIN w ON w.x = g.short AND w.y = g.piece WHERE g.a = k.a AND g.b = k.b) AS partial" if windows else ""}
+       FROM k JOIN w w1 ON w1.x = k.a AND w1.y = k.b JOIN w w2 ON w2.x = sort_a AND w2.y = sort_b JOIN w w3 ON w3.x = with_a AND w3.y = with_b
+       JOIN w w4 ON w4.x = base AND w4.y = with_a JOIN w w5 ON w5.x = base AND w5.y = with_b JOIN jw ON jw.x = k.a AND jw.y = k.b)"""
+
+
+def _edit(measure: str) -> str:
+    return f"WITH RECURSIVE {_NAMES}, {_edits(measure == 'partial')} SELECT a, b, round({measure}, 6) AS value FROM p JOIN e USING (a, b)"
+
+
+def _jaccards(c: str) -> str:
+    """Token and 3-gram Jaccard of strings of at least three characters."""
+    of = lambda f: f"(SELECT {_JACCARD} FROM (SELECT {_SETS.format(f('a' if c == '' else 'reverse(a)'), f('b' if c == '' else 'reverse(b)'))}))"
+    return f"round({of(_words)}, 6) AS {'addr' if c else 'name'}_tokens, round({of(_grams)}, 6) AS {'addr' if c else 'name'}_grams"
+
+
+_TRI = "(CASE WHEN {0} = '' OR {1} = '' THEN -1 WHEN {0} = {1} THEN 1 ELSE 0 END)::INT"
+_PIN, _HOUSE_NO = ("substr(a, 1, 1)", "substr(b, 1, 1)"), ("substr(a, 2, 1)", "substr(b, 2, 1)")
+_BONES = "substr(translate({0}, ' aeiou', ''), 1, 32)"
+#: n and m: the measures of the names and of the reversed names, which stand for the addresses.
+_FIELDED = "FROM j JOIN e n USING (a, b) JOIN e m ON m.a = reverse(j.a) AND m.b = reverse(j.b)"
+_FEATURES_11 = f"""j.a AS query, j.b AS candidate, round(n.ratio / 100, 6) AS name_ratio, round(m.ratio / 100, 6) AS addr_ratio, round(n.set_ratio / 100, 6) AS name_set,
+ round(m.set_ratio / 100, 6) AS addr_set, (substr(j.a, 1, 1) = substr(j.b, 1, 1))::INT AS pin, (substr(j.a, 2, 1) = substr(j.b, 2, 1))::INT AS house,
+ ({_BONES.format('j.a')} = {_BONES.format('j.b')})::INT AS skeleton, 0.0::DOUBLE AS stage1, 0.0::DOUBLE AS rank, 0.0::DOUBLE AS gap, 0.0::DOUBLE AS support"""
 _SCORED = "s AS MATERIALIZED (SELECT source AS query, doc_id AS candidate, (doc_id * 37 % 71 + 30 * quality) / 100.0::DOUBLE AS prob, quality AS label FROM documents JOIN labels USING (doc_id)), c AS (SELECT q.query, coalesce(n_true, 0) AS n_true FROM (SELECT DISTINCT source AS query FROM documents) q LEFT JOIN (SELECT query, count(*) AS n_true FROM s WHERE label = 1 GROUP BY 1) USING (query))"
 _F = "CASE WHEN np = 0 AND n_true = 0 THEN 1.0 WHEN np = 0 OR n_true = 0 OR tp = 0 THEN 0.0 ELSE 1.25 * (tp / np) * (tp / n_true) / (0.25 * tp / np + tp / n_true) END"
 _SWEEP = f"""{_SCORED}, g AS (SELECT round(0.05 + i * 0.01, 2) AS threshold FROM range(91) x(i)),
@@ -136,6 +189,19 @@ ORACLE_SQL = {
     "sim_regex_jaccard": _jaccard(r"regexp_extract_all(lower(a), '\w+')", r"regexp_extract_all(lower(b), '\w+')"),
     "sim_ngram_jaccard": f"WITH {_NAMES}, {_GRAM} SELECT * FROM j",
     "sim_jaro_winkler_gated": f"WITH {_NAMES} SELECT a, b, round(jaro_winkler_similarity(a, b), 6) AS value FROM p",
+    "sim_jaro_winkler_classic": _edit("winkler"),
+    "sim_indel_ratio": _edit("ratio"), "sim_token_set": _edit("set_ratio"), "sim_token_sort": _edit("sort_ratio"), "sim_partial": _edit("partial"),
+    "pair_features_8": f"""WITH RECURSIVE {_NAMES}, {_GRAM}, {_edits(False)}, v AS (SELECT a, b, value, {_jaccards('')}, {_jaccards('r')} FROM j)
+        SELECT a AS query, b AS candidate, round(winkler, 6) AS name_jw, name_tokens, name_grams, addr_tokens, addr_grams, {_TRI.format(*_PIN)} AS pin, value AS cosine, (length(b) % 2)::INT AS is_s2 FROM v JOIN e USING (a, b)""",
+    "pair_features_11": f"WITH RECURSIVE {_NAMES}, {_GRAM}, {_edits(False)} SELECT {_FEATURES_11} {_FIELDED}",
+    "pair_features_12": f"WITH RECURSIVE {_NAMES}, {_GRAM}, {_edits(False)} SELECT {_FEATURES_11}, j.value AS cosine {_FIELDED}",
+    "pair_features_19": f"""WITH RECURSIVE {_NAMES}, {_GRAM}, {_edits(True)}, v AS (SELECT j.a, j.b, j.value AS sim, round(n.ratio, 6) AS name_ratio, round(n.set_ratio, 6) AS name_set,
+        round(n.sort_ratio, 6) AS name_sort, round(n.partial, 6) AS name_partial, round(m.ratio, 6) AS addr_ratio, round(m.set_ratio, 6) AS addr_set, round(m.sort_ratio, 6) AS addr_sort {_FIELDED}),
+        z AS (SELECT *, round(least(length(a), length(b))::DOUBLE / greatest(length(a), length(b)), 6) AS long FROM v)
+        SELECT a AS query, b AS candidate, sim, (row_number() OVER o - 1)::INT AS rank0, first_value(sim) OVER o AS top1, round(first_value(sim) OVER o - sim, 6) AS gap_top,
+        round(coalesce(sim - lead(sim) OVER o, 0), 6) AS gap_next, round(jaro_winkler_similarity(a, b), 6) AS name_jw, name_ratio, name_set, name_sort, name_partial, addr_ratio, addr_set, addr_sort,
+        {_TRI.format(*_PIN)} AS pin, {_TRI.format(*_HOUSE_NO)} AS house, (length(b) % 2)::INT AS is_s2, long AS name_length, long AS addr_length, (a = '' OR b = '')::INT AS name_empty
+        FROM z WINDOW o AS (PARTITION BY a ORDER BY sim DESC, b)""",
     "sim_tristate": f"WITH {_NAMES}, q AS (SELECT a, b, CASE WHEN length(a) % 3 = 0 THEN '' ELSE a END AS x FROM p) SELECT a, b, (CASE WHEN x = '' OR b = '' THEN -1 WHEN x = b THEN 1 ELSE 0 END)::INT AS tri, (x <> '' AND x = b)::INT AS same, (x = '' OR b = '')::INT AS empty FROM q",
     "sim_len_ratio": f"WITH {_NAMES} SELECT a, b, round(least(length(a), length(b))::DOUBLE / greatest(length(a), length(b)), 6) AS value FROM p",
     "sim_cosine": f"""WITH {_V}, u AS (SELECT label, unnest(x) AS c, generate_subscripts(x, 1) AS i FROM v), m AS (SELECT label, i, avg(c) AS c FROM u GROUP BY ALL),
