@@ -69,10 +69,14 @@ def _jaccard(a: str, b: str) -> str:
 
 _GRAM = f"""q AS (SELECT a, b, list_distinct({_grams('a')}) AS x, list_distinct({_grams('b')}) AS y, {_words('a')} AS u, {_words('b')} AS w FROM p),
  j AS (SELECT a, b, round(CASE WHEN length(a) < 3 OR length(b) < 3 THEN len(list_intersect(u, w))::DOUBLE / len(list_distinct(list_concat(u, w))) ELSE {_JACCARD} END, 6) AS value FROM q)"""
+#: A row of the table of common subsequences from the one before: the last place of a letter up to k is the best to match.
+_LCS = """list_transform(range(0, length(y)::BIGINT + 1), lambda k: greatest(r[k + 1], CASE WHEN strpos(reverse(substr(y, 1, k)), substr(x, i + 1, 1)) > 0
+      THEN r[k + 1 - strpos(reverse(substr(y, 1, k)), substr(x, i + 1, 1))] + 1 ELSE 0 END))"""
+_RATIO = "CASE WHEN x = '' AND y = '' THEN 100.0::DOUBLE ELSE 200.0::DOUBLE * r[-1] / (length(x) + length(y)) END"
+
+
 def _edits(windows: bool) -> str:
     """e: of each pair of names, and of both reversed, the edit-based measures from their definitions; partial needs windows."""
-    lcs = """list_transform(range(0, length(y)::BIGINT + 1), lambda k: greatest(r[k + 1], coalesce(list_max(list_transform(range(1, k + 1),
-      lambda m: CASE WHEN substr(y, m, 1) = substr(x, i + 1, 1) THEN r[m] + 1 ELSE 0 END)), 0)))"""
     free = """list_filter(range(greatest(1, i + 1 - reach), least(length(y), i + 1 + reach) + 1),
       lambda k: substr(y, k, 1) = substr(x, i + 1, 1) AND NOT list_contains(taken, k))"""
     # every window as long as the shorter string, those that overhang the longer one's ends too
@@ -89,8 +93,8 @@ def _edits(windows: bool) -> str:
  s AS (SELECT a AS x, b AS y FROM u UNION SELECT sort_a, sort_b FROM k UNION SELECT with_a, with_b FROM k UNION SELECT base, with_a FROM k
        UNION SELECT base, with_b FROM k{' UNION SELECT short, piece FROM g' if windows else ''}),
  lc AS (SELECT x, y, 0::BIGINT AS i, list_transform(range(0, length(y)::BIGINT + 1), lambda k: 0::BIGINT) AS r FROM s
-        UNION ALL SELECT x, y, i + 1, {lcs} FROM lc WHERE i < length(x)),
- w AS MATERIALIZED (SELECT x, y, CASE WHEN x = '' AND y = '' THEN 100.0::DOUBLE ELSE 200.0::DOUBLE * r[-1] / (length(x) + length(y)) END AS ratio FROM lc WHERE i = length(x)),
+        UNION ALL SELECT x, y, i + 1, {_LCS} FROM lc WHERE i < length(x)),
+ w AS MATERIALIZED (SELECT x, y, {_RATIO} AS ratio FROM lc WHERE i = length(x)),
  jc AS (SELECT a AS x, b AS y, 0::BIGINT AS i, greatest(greatest(length(a), length(b)) // 2 - 1, 0) AS reach, []::BIGINT[] AS taken, '' AS ours FROM u
         UNION ALL SELECT x, y, i + 1, reach, CASE WHEN hit IS NULL THEN taken ELSE list_append(taken, hit) END, CASE WHEN hit IS NULL THEN ours ELSE ours || substr(x, i + 1, 1) END
         FROM (SELECT *, {free}[1] AS hit FROM jc WHERE i < length(x))),
@@ -154,7 +158,7 @@ ORACLE_SQL = {
     "entity_clean_lexical": f"WITH r AS (SELECT doc_id, {_clean('text')} AS clean FROM documents) SELECT doc_id, clean, substr(translate(clean, ' aeiou', ''), 1, 32) AS skeleton, len({_words('clean')})::BIGINT AS n_tokens FROM r",
     "extract_pin_house_state": rf"""WITH r AS (SELECT doc_id, {_ascii('text')} AS raw, {_clean('text')} AS clean FROM documents)
         SELECT doc_id, nullif(regexp_extract(raw, '\b(\d{{5,6}})\b', 1), '') AS pin, nullif(regexp_extract(raw, '(\d+)', 1), '') AS number,
-        {_HOUSE.format('clean')} AS house, {_STATE.format('clean')} AS state FROM r""",
+        {_HOUSE.format('clean')} AS house, nullif(regexp_extract(clean, '\b(\d{{5,6}})\b', 1), '') AS clean_pin, {_STATE.format('clean')} AS state FROM r""",
     "record_text": f"""SELECT p_partkey, '[' || upper(trim(p_brand)) || '] ' || {_clean_text('p_name')} || ' | ' || {_clean_text('p_type')} AS entity,
         'Name: ' || trim(p_name) || ' | Address: ' || trim(p_type) || ', ' || trim(p_brand) AS labelled,
         'query: ' || {_clean('p_name')} || ' [SEP] ' || {_clean('p_type')} || ' [SEP] ' || {_clean('p_brand')} || ' [SEP] ' || substr(translate({_clean('p_name')}, ' aeiou', ''), 1, 32) || ' [SEP]  [SEP] ' AS encoder FROM part""",
@@ -166,6 +170,30 @@ ORACLE_SQL = {
     "block_token": f"WITH {_B} SELECT * FROM b",
     "block_house": f"""WITH {_RECORDS}, h AS (SELECT id, country, {_HOUSE.format('name')} AS token FROM r), few AS (SELECT country, token FROM h WHERE id % 3 <> 0 AND token <> '' GROUP BY ALL HAVING count(*) <= 40)
         SELECT q.id AS query, p.id AS candidate FROM h q JOIN few USING (country, token) JOIN h p USING (country, token) WHERE q.id % 3 = 0 AND p.id % 3 <> 0""",
+    "block_union": f"""WITH {_B}, h AS (SELECT id, country, {_HOUSE.format('name')} AS token FROM r), few AS (SELECT country, token FROM h WHERE id % 3 <> 0 AND token <> '' GROUP BY ALL HAVING count(*) <= 40)
+        SELECT query, candidate FROM b UNION SELECT q.id, p.id FROM h q JOIN few USING (country, token) JOIN h p USING (country, token) WHERE q.id % 3 = 0 AND p.id % 3 <> 0""",
+    "lexical_candidates": f"""WITH RECURSIVE r AS MATERIALIZED (SELECT p_partkey AS id, {_clean('p_brand')} AS country, {_clean('p_name')} AS name, {_clean("p_size || ' ' || p_type")} AS addr FROM part),
+        k AS MATERIALIZED (SELECT DISTINCT id, country, unnest(list_concat({_words('name')}, {_words('addr')})) AS token FROM r),
+        rare AS (SELECT country, token FROM k WHERE id % 3 <> 0 GROUP BY ALL HAVING count(*) <= 40),
+        b AS MATERIALIZED (SELECT DISTINCT q.id AS query, p.id AS candidate FROM k q JOIN rare USING (country, token) JOIN k p USING (country, token) WHERE q.id % 3 = 0 AND p.id % 3 <> 0),
+        few AS (SELECT country, name[1:5] AS token FROM r WHERE id % 3 <> 0 GROUP BY ALL HAVING count(*) <= 160),
+        c AS (SELECT * FROM b UNION SELECT q.id, p.id FROM r q JOIN few ON few.country = q.country AND token = q.name[1:5] JOIN r p ON p.country = q.country AND p.name[1:5] = token
+              WHERE q.id % 3 = 0 AND p.id % 3 <> 0 AND q.id NOT IN (SELECT query FROM b)),
+        t AS (SELECT id, name, addr, {_STATE.format('addr')} AS state FROM r),
+        f AS MATERIALIZED (SELECT query, candidate, q.name AS qn, p.name AS pn, q.addr AS qa, p.addr AS pa FROM c JOIN t q ON q.id = query JOIN t p ON p.id = candidate
+              WHERE q.state = '' OR p.state = '' OR q.state = p.state),
+        s AS (SELECT qn AS x, pn AS y FROM f UNION SELECT qa, pa FROM f),
+        lc AS (SELECT x, y, 0::BIGINT AS i, list_transform(range(0, length(y)::BIGINT + 1), lambda k: 0::BIGINT) AS r FROM s UNION ALL SELECT x, y, i + 1, {_LCS} FROM lc WHERE i < length(x)),
+        w AS MATERIALIZED (SELECT x, y, {_RATIO} AS ratio FROM lc WHERE i = length(x)),
+        z AS (SELECT query, candidate, round(0.55::DOUBLE * n.ratio + 0.45::DOUBLE * a.ratio, 6) AS score FROM f JOIN w n ON n.x = qn AND n.y = pn JOIN w a ON a.x = qa AND a.y = pa),
+        o AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, candidate DESC)::INT AS rank FROM z)
+        SELECT * FROM o WHERE rank <= 10""",
+    "pair_attributes": f"""WITH {_PAIRS} SELECT query, candidate, prob, c_name AS left_name, c_mktsegment AS left_kind, CASE WHEN p_size > 9 THEN p_name ELSE '' END AS right_name, p_type AS right_kind
+        FROM o JOIN customer ON c_custkey = query JOIN part ON p_partkey = candidate""",
+    "candidate_file_pairs": f"WITH {_OWN} SELECT query::VARCHAR AS query, candidate::VARCHAR AS candidate FROM w",
+    "isotonic_calibrate": f"""WITH {_SCORED}, g AS (SELECT prob, sum(label)::DOUBLE AS y, count(*)::DOUBLE AS n FROM s GROUP BY 1), u AS (SELECT *, row_number() OVER (ORDER BY prob) AS i, sum(y) OVER (ORDER BY prob) AS sy, sum(n) OVER (ORDER BY prob) AS sn FROM g),
+        m AS (SELECT k.i, a.i AS first, min((b.sy - a.sy + a.y) / (b.sn - a.sn + a.n)) AS least FROM u k JOIN u a ON a.i <= k.i JOIN u b ON b.i >= k.i GROUP BY ALL),
+        c2 AS (SELECT i, max(least) AS calibrated FROM m GROUP BY 1) SELECT candidate, prob, round(calibrated, 6) AS calibrated FROM s JOIN u USING (prob) JOIN c2 USING (i)""",
     "block_prefix_fallback": f"""WITH {_blocked(2)}, x AS (SELECT id, country, name[1:5] AS token FROM r),
         few AS (SELECT country, token FROM x WHERE id % 3 <> 0 GROUP BY ALL HAVING count(*) <= 160)
         SELECT DISTINCT q.id AS query, p.id AS candidate FROM x q JOIN few USING (country, token) JOIN x p USING (country, token)

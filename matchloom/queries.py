@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from matchloom.functions import similarity as S
 from matchloom.functions import text as T
 from matchloom.operators import blocking, cache, evaluation, features, modeling, quality, ranking, training
+from matchloom.plans import pipelines
 from matchloom.sources import scratch, tables
 from matchloom.streaming import ownership
 
@@ -55,7 +56,7 @@ def entity_clean_lexical(spark, sf):
 
 def extract_pin_house_state(spark, sf):
     df = _documents(spark, sf).select("doc_id", T.ascii_only(F.col("text")).alias("raw"), T.clean_lexical(F.col("text")).alias("clean"))
-    return df.select("doc_id", T.pin_code(F.col("raw")).alias("pin"), T.first_number(F.col("raw")).alias("number"), T.house_number(F.col("clean")).alias("house"), T.state_phrase(F.col("clean")).alias("state"))
+    return df.select("doc_id", T.pin_code(F.col("raw")).alias("pin"), T.first_number(F.col("raw")).alias("number"), T.house_number(F.col("clean")).alias("house"), T.pin_code(F.col("clean")).alias("clean_pin"), T.state_phrase(F.col("clean")).alias("state"))
 
 
 def record_text(spark, sf):
@@ -109,6 +110,26 @@ def block_topk_shared_tokens(spark, sf):
     return lists.join(sizes(q, "query", "n_tokens"), "query").select("query", F.col("n_tokens").cast("long").alias("n_tokens"), "candidates")
 
 
+def block_union(spark, sf):
+    """Pairs that either kind of block finds, each once."""
+    return _blocked(spark, sf).select("query", "candidate").unionByName(block_house(spark, sf)).distinct()
+
+
+def lexical_candidates(spark, sf):
+    """The whole lexical stage over parts as records: brand the country, size and type the address."""
+    p = F.col
+    n = _t(spark, sf, "part").select(p("p_partkey").alias("id"), p("p_name").alias("business_name"), F.concat_ws(" ", p("p_size").cast("string"), "p_type").alias("business_address"), p("p_brand").alias("country"))
+    q, pool = _sides(tables.enrich(n))
+    return pipelines.lexical_candidates(q, pool, pipelines.Settings(top_k=TOP, cap=CAP)).select("query", "candidate", "score", "rank")
+
+
+def pair_attributes(spark, sf):
+    """Both records' fields beside each pair; missing ones are empty."""
+    c = _t(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("kind"))
+    p = _t(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") > 9, F.col("p_name")).alias("name"), F.col("p_type").alias("kind"))
+    return features.with_fields(_orders(spark, sf), c, p)
+
+
 def block_state_compat(spark, sf):
     state = _records(spark, sf).select("id", T.state_phrase(F.col("name")).alias("state"))
     pairs = _blocked(spark, sf).join(state.toDF("query", "qs"), "query").join(state.toDF("candidate", "cs"), "candidate")
@@ -521,6 +542,14 @@ def tsv_round_trip(spark, sf):
     return e.select("entity_id", "business_name", "country_n", "name_n", "skeleton", "house", "state")
 
 
+def candidate_file_pairs(spark, sf):
+    """A written file of lists read back as pairs."""
+    path = scratch.folder(spark, "candidates")
+    tables.write_lists(match_lists(spark, sf), path, "source1_entity_id", "matched_entity_ids")
+    back = tables.read_lists(tables.read_tsv(spark, path, ("source1_entity_id", "matched_entity_ids")), "source1_entity_id", "matched_entity_ids")
+    return tables.long_pairs(back)
+
+
 def list_file_round_trip(spark, sf):
     path = scratch.folder(spark, "lists")
     lists = match_lists(spark, sf)
@@ -540,7 +569,7 @@ QUERIES = {f.__name__: f for f in (
     dummy_subset, row_numbers, gbt_rerank, two_stage_stack, isotonic_calibrate, stream_ownership, tsv_round_trip,
     list_file_round_trip, decide_ownership_ids, holdout_split_ids, train_triplets_ids, knn_partitioned_ids, stream_ownership_ids,
     transliterated_names, short_names, nonblank_text, pair_cap, positive_cap, ownership_f05, dummy_subset_test, file_rules,
-    embedding_cache_append, audit_output, pair_scorer,
+    embedding_cache_append, audit_output, pair_scorer, block_union, lexical_candidates, pair_attributes, candidate_file_pairs,
 )} | {
     "sim_token_jaccard": sim_token_jaccard, "sim_ngram_jaccard": sim_ngram_jaccard, "sim_regex_jaccard": sim_regex_jaccard,
     "sim_jaro_winkler_gated": sim_jaro_winkler_gated, "sim_jaro_winkler_classic": sim_jaro_winkler_classic,
