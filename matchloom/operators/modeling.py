@@ -10,7 +10,7 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -24,6 +24,19 @@ class Prior:
         return df.withColumn("prob", F.lit(self.share))
 
 
+def find_saved(spark: SparkSession, roots: list[str], patterns: list[str]) -> str:
+    """The path of a saved model: patterns (globs) in order of precedence, for each the roots in order, then by name. Raises if
+    there is none."""
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for pattern in patterns:
+        for root in roots:
+            path = fs.Path(f"{root.rstrip('/')}/{pattern}/metadata")
+            found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+            if found:
+                return min(x.getPath().getParent().toString() for x in found)
+    raise FileNotFoundError(f"{patterns} below {roots}")
+
+
 class Reranker:
     def __init__(self, model: PipelineModel):
         self.model = model
@@ -45,8 +58,9 @@ class Reranker:
         return cls(PipelineModel.load(path))
 
 
-def fit_reranker(df: DataFrame, columns: list[str], label: str = "label", *, iterations: int = 20, depth: int = 5, rate: float = 0.1, subsample: float = 1.0, validation: str | None = None, seed: int = 42, strict: bool = False) -> Reranker | Prior:
-    """Boosted trees on the columns. validation: a boolean column that marks the holdout rows for early stopping.
+def fit_reranker(df: DataFrame, columns: list[str], label: str = "label", *, iterations: int = 20, depth: int = 5, rate: float = 0.1, subsample: float = 1.0, features: str = "auto", validation: str | None = None, seed: int = 42, strict: bool = False) -> Reranker | Prior:
+    """Boosted trees on the columns. subsample and features: the share of rows of each tree, of columns of each split ("auto":
+    all). validation: a boolean column that marks the holdout rows for early stopping.
 
     With one class: raises if strict, else gives the prior.
     """
@@ -55,7 +69,7 @@ def fit_reranker(df: DataFrame, columns: list[str], label: str = "label", *, ite
         if strict:
             raise ValueError("the labels have one class only")
         return Prior(float(seen["share"] or 0.0))
-    gbt = GBTClassifier(labelCol=label, featuresCol="features", maxIter=iterations, maxDepth=depth, stepSize=rate, subsamplingRate=subsample, seed=seed)
+    gbt = GBTClassifier(labelCol=label, featuresCol="features", maxIter=iterations, maxDepth=depth, stepSize=rate, subsamplingRate=subsample, featureSubsetStrategy=features, seed=seed)
     if validation:
         gbt = gbt.setValidationIndicatorCol(validation)
     stages = [VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep"), gbt]

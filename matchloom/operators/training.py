@@ -46,6 +46,12 @@ def positives(truth: DataFrame, queries: DataFrame, pool: DataFrame) -> DataFram
     return known.join(pool.select(F.col("id").alias("candidate")), "candidate", "left_semi").select("query", "candidate").distinct()
 
 
+def text_pairs(pairs: DataFrame, queries: DataFrame, pool: DataFrame) -> DataFrame:
+    """(query, candidate, left, right): pairs with the texts of both sides, (id, text); without those of which one is blank."""
+    q, p = (filled_texts(d, "text").select("id", "text") for d in (queries, pool))
+    return pairs.join(q.toDF("query", "left"), "query").join(p.toDF("candidate", "right"), "candidate").select("query", "candidate", "left", "right")
+
+
 def triplets(pairs: DataFrame, pool: DataFrame, seed: int = 42, fallback: str | None = None) -> DataFrame:
     """(query, candidate, negative): a pool record of the candidate's country, another one than the candidate.
 

@@ -190,6 +190,9 @@ ORACLE_SQL = {
         SELECT * FROM o WHERE rank <= 10""",
     "pair_attributes": f"""WITH {_PAIRS} SELECT query, candidate, prob, c_name AS left_name, c_mktsegment AS left_kind, CASE WHEN p_size > 9 THEN p_name ELSE '' END AS right_name, p_type AS right_kind
         FROM o JOIN customer ON c_custkey = query JOIN part ON p_partkey = candidate""",
+    "train_text_pairs": f"""WITH {_RECORDS}, {_TRUTH}, x AS (SELECT doc_id AS id, source FROM documents WHERE doc_id % 9 <> 0 AND trim(source) <> '')
+        SELECT DISTINCT query, candidate, a.source AS left, b.source AS right FROM t JOIN x a ON a.id = query JOIN x b ON b.id = candidate""",
+    "limited_scan": "SELECT '7' AS asked, least(7, count(*)) AS n FROM supplier UNION ALL SELECT 'all', count(*) FROM supplier",
     "candidate_file_pairs": f"WITH {_OWN} SELECT query::VARCHAR AS query, candidate::VARCHAR AS candidate FROM w",
     "isotonic_calibrate": f"""WITH {_SCORED}, g AS (SELECT prob, sum(label)::DOUBLE AS y, count(*)::DOUBLE AS n FROM s GROUP BY 1), u AS (SELECT *, row_number() OVER (ORDER BY prob) AS i, sum(y) OVER (ORDER BY prob) AS sy, sum(n) OVER (ORDER BY prob) AS sn FROM g),
         m AS (SELECT k.i, a.i AS first, min((b.sy - a.sy + a.y) / (b.sn - a.sn + a.n)) AS least FROM u k JOIN u a ON a.i <= k.i JOIN u b ON b.i >= k.i GROUP BY ALL),

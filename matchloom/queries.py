@@ -344,6 +344,11 @@ def train_positives(spark, sf):
     return training.positives(_truth(spark, sf), q, p)
 
 
+def train_text_pairs(spark, sf):
+    d = _t(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.when(F.expr("doc_id % 9 = 0"), " ").otherwise(F.col("source")).alias("text"))
+    return training.text_pairs(_truth(spark, sf).distinct(), *_sides(d))
+
+
 def train_triplets(spark, sf):
     _, p = _sides(_records(spark, sf).select("id", "country"))
     return training.triplets(_blocked(spark, sf).select("query", "candidate"), p)
@@ -384,9 +389,11 @@ _ML = ["name_tokens", "name_jw", "pin", "is_s2"]
 
 
 def gbt_rerank(spark, sf):
-    d = _ml(spark, sf)
-    model = modeling.fit_reranker(d.withColumn("valid", F.col("split") == 0), _ML, iterations=8, validation="valid")
-    return model.transform(d).select("query", "candidate", "label", F.round("prob", 4).alias("prob"))
+    """Queries in three parts: those the trees are fitted on, those that stop them, and those that a threshold may be chosen on."""
+    d = _ml(spark, sf).withColumn("part", F.when(F.col("split") == 0, "stop").when(F.col("split") == 1, "tune").otherwise("fit"))
+    seen = d.where("part <> 'tune'").withColumn("valid", F.col("part") == "stop")
+    model = modeling.fit_reranker(seen, _ML, iterations=8, subsample=0.85, features="0.85", validation="valid")
+    return model.transform(d).select("query", "candidate", "part", "label", F.round("prob", 4).alias("prob"))
 
 
 def two_stage_stack(spark, sf):
@@ -542,6 +549,14 @@ def tsv_round_trip(spark, sf):
     return e.select("entity_id", "business_name", "country_n", "name_n", "skeleton", "house", "state")
 
 
+def limited_scan(spark, sf):
+    """A scan's row limit: as many rows as asked for, or as there are."""
+    path = scratch.folder(spark, "limit")
+    _t(spark, sf, "supplier").select("s_suppkey", "s_name").write.option("sep", "\t").option("header", True).csv(path)
+    count = lambda n: tables.read_tsv(spark, path, ("s_suppkey", "s_name"), limit=n).agg(F.count("*").alias("n"))
+    return count(7).select(F.lit("7").alias("asked"), "n").unionByName(count(10**6).select(F.lit("all").alias("asked"), "n"))
+
+
 def candidate_file_pairs(spark, sf):
     """A written file of lists read back as pairs."""
     path = scratch.folder(spark, "candidates")
@@ -570,6 +585,7 @@ QUERIES = {f.__name__: f for f in (
     list_file_round_trip, decide_ownership_ids, holdout_split_ids, train_triplets_ids, knn_partitioned_ids, stream_ownership_ids,
     transliterated_names, short_names, nonblank_text, pair_cap, positive_cap, ownership_f05, dummy_subset_test, file_rules,
     embedding_cache_append, audit_output, pair_scorer, block_union, lexical_candidates, pair_attributes, candidate_file_pairs,
+    train_text_pairs, limited_scan,
 )} | {
     "sim_token_jaccard": sim_token_jaccard, "sim_ngram_jaccard": sim_ngram_jaccard, "sim_regex_jaccard": sim_regex_jaccard,
     "sim_jaro_winkler_gated": sim_jaro_winkler_gated, "sim_jaro_winkler_classic": sim_jaro_winkler_classic,

@@ -399,6 +399,27 @@ def test_model_and_facts_survive_saving(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "facts")).first().threshold == 0.5
 
 
+def test_saved_models_are_found_by_precedence(spark, tmp_path):
+    df = spark.createDataFrame([(float(i), int(i > 5)) for i in range(12)] * 3, "x double, label int")
+    model = modeling.fit_reranker(df, ["x"], iterations=2, subsample=0.85, features="0.85")
+    for place in ("a/best-1", "b/best-2", "b/last"):
+        model.save(str(tmp_path / place))
+    (tmp_path / "a" / "last").mkdir()  # no model
+    roots = [str(tmp_path / "a"), str(tmp_path / "b")]
+    found = lambda *patterns: modeling.find_saved(spark, roots, list(patterns)).rsplit("/", 2)[1:]
+    assert found("last", "best-*") == ["b", "last"] and found("best-*") == ["a", "best-1"]
+    assert modeling.Reranker.load(modeling.find_saved(spark, roots, ["best-*"])).importances() == {"x": 1.0}
+    with pytest.raises(FileNotFoundError):
+        found("none")
+
+
+def test_text_pairs_have_both_texts(spark):
+    pairs = spark.createDataFrame([("q1", "p1"), ("q1", "p2"), ("q2", "p1"), ("q3", "p1")], "query string, candidate string")
+    q = spark.createDataFrame([("q1", "a"), ("q2", " "), ("q3", None)], "id string, text string")
+    p = spark.createDataFrame([("p1", "b")], "id string, text string")
+    assert [tuple(r) for r in training.text_pairs(pairs, q, p).collect()] == [("q1", "p1", "a", "b")]
+
+
 def test_files_are_found_below_a_root(spark, tmp_path):
     (tmp_path / "a" / "b").mkdir(parents=True)
     (tmp_path / "a" / "b" / "x.tsv").write_text("entity_id\n")
