@@ -380,9 +380,13 @@ def row_numbers(spark, sf):
 
 
 def _ml(spark, sf) -> DataFrame:
+    """Feature rows with labels, written once, as each fit and the scoring read them."""
     f = pair_features_8(spark, sf)
     label = ((F.substring("query", 1, 3) == F.substring("candidate", 1, 3)) | (F.col("addr_grams") > 0.4)).cast("int")
-    return f.withColumn("label", label).withColumn("split", F.pmod(F.xxhash64("query"), F.lit(4)).cast("int"))
+    f = f.withColumn("label", label).withColumn("split", F.pmod(F.xxhash64("query"), F.lit(4)).cast("int"))
+    path = scratch.folder(spark, "features")
+    f.write.parquet(path)
+    return spark.read.schema(f.schema).parquet(path)
 
 
 _ML = ["name_tokens", "name_jw", "pin", "is_s2"]
