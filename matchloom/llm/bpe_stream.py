@@ -152,7 +152,7 @@ class Transducer:
     most_steps bounds the table of steps; a full table is thrown away and built anew.
     """
 
-    def __init__(self, vocabulary: Vocabulary, most_steps: int = 300_000):
+    def __init__(self, vocabulary: Vocabulary, most_steps: int = 600_000):
         self.v, self.most_steps = vocabulary, most_steps
         self.most_held = self.most_tokens = 0  # bytes and tokens that were held back at once
         self._clear()
