@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from matchloom import queries
 from matchloom.functions import similarity as S
 from matchloom.functions import text as T
 from matchloom.operators import blocking, cache, evaluation, features, modeling, quality, ranking, training
@@ -240,6 +241,40 @@ def test_short_names_fall_back(spark):
     assert [tuple(r) for r in blocking.prefix_fallback(q, p, none, 10).collect()] == [("S1-1", "S2-1")]
 
 
+def test_fallback_pairs_are_not_shuffled(spark, sf):
+    """One bucket with all records: lists of rows are dealt out, pairs come of them where they are written."""
+    q = spark.range(3000).selectExpr("id", "'x' country", "'aei' name")
+    p = spark.range(5000).selectExpr("id", "'x' country", "'aei' name")
+    pairs = blocking.prefix_fallback(q, p, spark.createDataFrame([], "query long, candidate long"), 10**6)
+    for df in (pairs, queries.short_names(spark, sf)):
+        assert df._jdf.queryExecution().executedPlan().toString().split("Exchange")[0].count("Generate") == 2
+    tasks = [r["count"] for r in pairs.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 3000 * 5000 and len(tasks) > 1
+
+
+def test_fallback_of_repeated_and_empty_records(spark):
+    names = [None, "", "a", "abcde1", "abcde2", "abcd", "bcdefg"]
+    rows = [(f"S1-{i % 7}" if i % 19 else None, (None, "x", "y")[i % 3] if i % 4 else "x", names[i * i // 5 % 7]) for i in range(80)]
+    q, p = (spark.createDataFrame(r, "id string, country string, name string") for r in (rows, [("S2" + (i or "S1-9")[2:], c, n) for i, c, n in rows]))
+    hit = spark.createDataFrame([("S1-3", "S2-1")], "query string, candidate string")
+    key = lambda r: (r[1], None if r[2] is None else r[2][:5])
+    met = [(a[0], b[0], a[2], b[2]) for a in q.collect() for b in p.collect() if None not in key(a) and key(a) == key(b) and a[0] != "S1-3"]
+    told = lambda rows: sorted(map(tuple, rows), key=repr)
+    several = {r[:2] for r in met for s in met if r[:2] == s[:2] and r[2][:5] != s[2][:5]}
+    assert len(several) > 3
+    for cap in (100, 10**6):
+        assert told(blocking.prefix_fallback(q, p, hit, cap).collect()) == told({r[:2] for r in met})
+    assert told(blocking.prefix_fallback(q, p, hit, 100, fields=("name",)).select("query", "candidate", "left_name", "right_name").collect()) == told(met)
+
+
+def test_meetings_of_short_lists(spark):
+    rows = lambda name, n: spark.createDataFrame([("x", "hot" if i % 5 else f"t{i % 3}", i) for i in range(n)], f"country string, token string, {name} long")
+    q, p = rows("query", 40), rows("candidate", 70)
+    want = sorted(map(tuple, q.join(p, ["country", "token"]).select("query", "candidate").collect()))
+    for size in (1, 7, 32, 10**6):
+        assert sorted(map(tuple, blocking.meetings(q, p, size).collect())) == want
+
+
 def _table_ratio(a, b):
     t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):
